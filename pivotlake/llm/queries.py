@@ -6,21 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pivotlake.llm import chat, mixing, quality, secrets
+from pivotlake.llm import annforest, chat, langid, licenses, mixing, packing, quality, ranker, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_quality_classifier": ranker.op6_quality_classifier,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_nearest_neighbours": annforest.op8_nearest_neighbours,
+        "op9_pack_sequences": packing.op9_pack_sequences,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
+        "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.ORACLE,
         "op7_chat_format": chat.ORACLE,
     }
