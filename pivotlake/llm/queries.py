@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pivotlake.llm import annforest, chat, langid, licenses, mixing, packing, quality, ranker, secrets
+from pivotlake.llm import annforest, chat, langid, licenses, mixing, neardup, packing, quality, ranker, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_secret_scan": secrets.op5_secret_scan,
