@@ -113,7 +113,7 @@ def evidence(rows: DataFrame, text_col: str = "text", declared_col: str | None =
     return (
         rows.withColumn("_lang_text", _text_evidence(F.col(text_col)))
         .withColumn("_lang_log", _add(F.col("_lang_text"), _categorical(declared, DECLARED_RIGHT), _categorical(suffix, SUFFIX_RIGHT)))
-        .withColumn("_lang_named", F.coalesce(declared.isin(*LANGUAGES) & F.col(text_col).rlike(r"\\p{L}"), F.lit(False)))
+        .withColumn("_lang_named", F.coalesce(declared.isin(*LANGUAGES) & F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
         .withColumn("_lang_host", host)
         .withColumn("_lang_domain", F.when(domain != "", domain))
     )
