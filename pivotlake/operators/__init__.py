@@ -1,0 +1 @@
+"""DataFrame operators of nearest-neighbour analytics."""

@@ -1,0 +1 @@
+"""Nothing yet: the engine's queries are batches over bounded tables."""
