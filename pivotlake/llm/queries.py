@@ -27,7 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
-        "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.ORACLE,
         "op7_chat_format": chat.ORACLE,
     }
