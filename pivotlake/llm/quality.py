@@ -13,6 +13,7 @@ Windows of three words are compared by 64-bit hashes inside one text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +50,13 @@ class Rule:
 #: Measures are expressions over the counted columns; all of them are ratios or counts.
 DEFAULT_RULES = (
     Rule("enough_words", "n_words", low=50),
-    Rule("mean_word_length", "word_chars / n_words", low=2.0, high=14.0),
-    Rule("symbols_per_word", "n_symbols / n_words", high=0.25),
-    Rule("stop_word_ratio", "n_stop / n_words", low=0.04),
-    Rule("duplicate_line_ratio", "n_dup_lines / n_lines", high=0.5),
-    Rule("shouted_ratio", "n_upper / greatest(n_letters, 1)", high=0.5),
-    Rule("bang_ratio", "n_bang / n_words", high=0.3),
-    Rule("repeated_word_ratio", "n_repeat_words / n_words", high=0.5),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", low=2.0, high=14.0),
+    Rule("symbols_per_word", "try_divide(n_symbols, n_words)", high=0.25),
+    Rule("stop_word_ratio", "try_divide(n_stop, n_words)", low=0.04),
+    Rule("duplicate_line_ratio", "try_divide(n_dup_lines, n_lines)", high=0.5),
+    Rule("shouted_ratio", "try_divide(n_upper, greatest(n_letters, 1))", high=0.5),
+    Rule("bang_ratio", "try_divide(n_bang, n_words)", high=0.3),
+    Rule("repeated_word_ratio", "try_divide(n_repeat_words, n_words)", high=0.5),
 )
 
 
@@ -76,28 +77,47 @@ def _count_chars(text: str, chars: str) -> Column:
     return (F.length(text) - F.length(kept)).cast("long")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however the optimizer moves the
+    expression: a filter on a result would otherwise repeat it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(own: Column) -> Column:
+    """Word positions inside windows that occur at least twice: windows are hashed and
+    sorted with their places, equal neighbours are kept, and their places are covered."""
+
+    def windows(h: Column) -> Column:
+        heads = F.slice(h, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
+        return F.array_sort(F.transform(heads, lambda x, i: F.struct(F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]).alias("h"), i.alias("i"))))
+
+    def starts(s: Column) -> Column:
+        like = lambda g, other: F.coalesce(g["h"] == other["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda g, i: like(g, F.get(s, i - 1)) | like(g, F.get(s, i + 1))), lambda g: g["i"]))
+
+    def covered(r: Column) -> Column:
+        steps = F.transform(r, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(r, k + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return _let(F.transform(own, lambda x: F.xxhash64(x)), lambda h: _let(windows(h), lambda s: _let(starts(s), covered)))
+
+
 def measure_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The counted columns, one row per input row. ``n_repeat_words`` counts the word
     positions inside three-word windows that occur at least twice in the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ends = WINDOW - 1
-    gram = F.expr(f"transform(slice(_h, 1, greatest(size(_h) - {ends}, 0)), (x, i) -> struct(xxhash64(x, get(_h, i + 1), get(_h, i + 2)) as h, i as i))")
-    starts = F.expr("array_sort(transform(filter(_s, (g, i) -> coalesce(g.h = get(_s, i - 1).h, false) or coalesce(g.h = get(_s, i + 1).h, false)), g -> g.i))")
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return (
         docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
         .withColumn("_w", words(F.col("_t")))
-        .withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))"))
         .withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        .withColumn("_s", F.array_sort(gram))
-        .withColumn("_r", starts)
         .select(
             "doc_id",
             F.size("_w").cast("long").alias("n_words"),
             F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
             _count_chars("_t", SYMBOLS).alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            F.expr(f"aggregate(transform(_r, (s, k) -> least({WINDOW}, coalesce(get(_r, k + 1) - s, {WINDOW}))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
+            repeated_words(F.col("_w")).alias("n_repeat_words"),
             F.size("_l").cast("long").alias("n_lines"),
             F.expr(f"size(filter(_w, w -> lower(w) in ({stop})))").cast("long").alias("n_stop"),
             _count_chars("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
