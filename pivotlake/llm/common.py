@@ -49,6 +49,16 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def wrap(rows: DataFrame, **own: Column) -> DataFrame:
+    """Each input row whole, as struct ``row``, beside the columns that an operator works
+    with; so no name of the input can clash with a helper's. ``unwrap`` undoes it."""
+    return rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unwrap(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")

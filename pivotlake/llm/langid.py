@@ -14,8 +14,7 @@ can stand for the host.
 Defined results: a text without a word (null, empty) is rejected (language ``und``);
 null declared language, host or address: no evidence of that kind, null hosts share one
 prior; unknown declared languages are ignored; repeated rows count as often as they stand;
-an empty table gives an empty table. Columns pass through; names beginning with ``_lang_``
-are reserved.
+an empty table gives an empty table. Columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pivotlake.functions.shipping import ship
-from pivotlake.llm.common import materialize, table
+from pivotlake.llm.common import materialize, table, unwrap, wrap
 
 #: Function words (fixed values).
 FUNCTION_WORDS = {
@@ -98,66 +97,64 @@ def _softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
 
 
-def evidence(rows: DataFrame, text_col: str = "text", declared_col: str | None = None, host_col: str | None = None, url_col: str | None = None) -> DataFrame:
-    """The input rows with ``_lang_text`` (likelihoods and hits), ``_lang_log`` (the fused
-    evidence of the row alone), ``_lang_named`` (a known language is declared for letters), ``_lang_host`` and ``_lang_domain``."""
-    if clash := [c for c in rows.columns if c.startswith("_lang_")]:
-        raise ValueError(f"reserved column names: {clash}")
+def evidence(rows: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, url: Column | None = None) -> DataFrame:
+    """Per input row: ``row`` (a struct), ``seen`` (likelihoods and hits of the text),
+    ``fused`` (the evidence of the row alone), ``named`` (a known language is declared for
+    letters), ``host`` and ``domain``."""
     ship(rows.sparkSession)
     none = F.lit(None).cast("string")
-    host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z]+://([^/?#:@]+)", 1)) if url_col else F.col(host_col).cast("string") if host_col else none
-    # a host of www.example.co: the domain is its last two labels; other names have no parent
+    if url is not None:
+        host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:@]+)", 1))
+    host = none if host is None else host.cast("string")
+    # of www.example.com the domain is the last two labels; other names have no parent
     domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    suffix = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.regexp_extract(host, r"\.([a-z]+)$", 1)] if url_col else none
-    declared = F.lower(F.substring(F.col(declared_col), 1, 2)) if declared_col else none
-    return (
-        rows.withColumn("_lang_text", _text_evidence(F.col(text_col)))
-        .withColumn("_lang_log", _add(F.col("_lang_text"), _categorical(declared, DECLARED_RIGHT), _categorical(suffix, SUFFIX_RIGHT)))
-        .withColumn("_lang_named", F.coalesce(declared.isin(*LANGUAGES) & F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-        .withColumn("_lang_host", host)
-        .withColumn("_lang_domain", F.when(domain != "", domain))
-    )
-
-
-def host_priors(found: DataFrame) -> DataFrame:
-    """``(_lang_h, _lang_prior)``, one row per host: log P(L | host). Rows with text evidence
-    add their posterior to their host (partial sums before the shuffle); domains and the
-    corpus are summed from the hosts."""
-    shares = found.where(F.col("_lang_text")[len(LANGUAGES)] >= MIN_HITS).select("_lang_host", "_lang_domain", _softmax(F.col("_lang_log")).alias("p"))
+    suffix = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.regexp_extract(host, r"\.([a-z]+)$", 1)] if url is not None else none
+    declared = none if declared is None else F.lower(F.substring(declared, 1, 2))
+    named = F.coalesce(declared.isin(*LANGUAGES) & text.rlike(r"\p{L}"), F.lit(False))
+    own = wrap(rows, seen=_text_evidence(text), host=host, domain=F.when(domain != "", domain), declared=declared, suffix=suffix, named=named)
+    fused = _add(F.col("seen"), _categorical(F.col("declared"), DECLARED_RIGHT), _categorical(F.col("suffix"), SUFFIX_RIGHT))
+    return own.withColumn("fused", fused).drop("declared", "suffix")
+
+
+def host_priors(found: DataFrame) -> tuple[DataFrame, list[float]]:
+    """``(h, prior)``, one row per host: log P(L | host); and P(L) over the corpus. Rows with
+    text evidence add their posterior to their host (partial sums before the shuffle);
+    domains and the corpus are summed from the hosts."""
+    shares = found.where(F.col("seen")[len(LANGUAGES)] >= MIN_HITS).select("host", "domain", _softmax(F.col("fused")).alias("p"))
     n = [f"n{k}" for k in range(len(LANGUAGES))]
-    hosts = materialize(shares.groupBy("_lang_host", "_lang_domain").agg(*[F.sum(F.col("p")[k]).alias(c) for k, c in enumerate(n)]), "lang-hosts")
+    hosts = materialize(shares.groupBy("host", "domain").agg(*[F.sum(F.col("p")[k]).alias(c) for k, c in enumerate(n)]), "lang-hosts")
     total = hosts.groupBy().agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in n]).first()
     mass = sum(total)
     corpus = [(c + CORPUS_WEIGHT / len(n)) / (mass + CORPUS_WEIGHT) for c in total]
     sums = lambda t: sum((F.col(f"{t}.{c}") for c in n[1:]), F.col(f"{t}.{n[0]}"))
-    domains = hosts.groupBy("_lang_domain").agg(*[F.sum(c).alias(c) for c in n]).alias("d")
-    smooth = domains.select("_lang_domain", *[((F.col(f"d.{c}") + DOMAIN_WEIGHT * corpus[k]) / (sums("d") + DOMAIN_WEIGHT)).alias(f"p{k}") for k, c in enumerate(n)])
+    domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(c) for c in n]).alias("d")
+    smooth = domains.select("domain", *[((F.col(f"d.{c}") + DOMAIN_WEIGHT * corpus[k]) / (sums("d") + DOMAIN_WEIGHT)).alias(f"p{k}") for k, c in enumerate(n)])
     h, d = hosts.alias("h"), smooth.alias("d")
-    parent = [F.when(F.col("d._lang_domain").isNull(), F.lit(corpus[k])).otherwise(F.col(f"d.p{k}")) for k in range(len(n))]
+    parent = [F.when(F.col("d.domain").isNull(), F.lit(corpus[k])).otherwise(F.col(f"d.p{k}")) for k in range(len(n))]
     prior = [F.log((F.col(f"h.{c}") + HOST_WEIGHT * parent[k]) / (sums("h") + HOST_WEIGHT)) for k, c in enumerate(n)]
-    return h.join(d, F.col("h._lang_domain") == F.col("d._lang_domain"), "left").select(F.col("h._lang_host").alias("_lang_h"), F.array(*prior).alias("_lang_prior")), corpus
+    return h.join(d, F.col("h.domain") == F.col("d.domain"), "left").select(F.col("h.host").alias("h"), F.array(*prior).alias("prior")), corpus
 
 
-def identify(rows: DataFrame, **columns) -> DataFrame:
-    """The input rows with ``_lang`` (best language or ``und``), ``_lang_posterior`` and
-    ``_lang_kept``. The priors are written first and broadcast only if hosts are few."""
-    found = evidence(rows, **columns)
+def identify(rows: DataFrame, text: Column, **columns: Column) -> DataFrame:
+    """``(row, language, posterior, kept)`` per input row, the row as a struct; ``und`` where
+    nothing is known. The priors are written first and broadcast only if hosts are few."""
+    found = evidence(rows, text, **columns)
     priors, corpus = host_priors(found)
     priors = materialize(priors, "lang-priors")
     if priors.count() <= BROADCAST_HOSTS:
         priors = F.broadcast(priors)
     flat = F.array(*[F.lit(math.log(p)) for p in corpus])
-    out = found.join(priors, F.col("_lang_host").eqNullSafe(F.col("_lang_h")), "left")
-    out = out.withColumn("_lang_post", _softmax(_add(F.col("_lang_log"), F.coalesce("_lang_prior", flat))))
-    best = F.array_max("_lang_post")
-    enough = (F.col("_lang_text")[len(LANGUAGES)] >= MIN_HITS) | F.col("_lang_named")
-    name = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("_lang_post", best).cast("int"))
-    return out.select(*rows.columns, F.when(enough, name).otherwise("und").alias("_lang"), best.alias("_lang_posterior"), (enough & (best >= MIN_POSTERIOR)).alias("_lang_kept"))
+    out = found.join(priors, F.col("host").eqNullSafe(F.col("h")), "left")
+    out = out.withColumn("post", _softmax(_add(F.col("fused"), F.coalesce("prior", flat))))
+    best = F.array_max("post")
+    enough = (F.col("seen")[len(LANGUAGES)] >= MIN_HITS) | F.col("named")
+    name = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("post", best).cast("int"))
+    return out.select("row", F.when(enough, name).otherwise("und").alias("language"), best.alias("posterior"), (enough & (best >= MIN_POSTERIOR)).alias("kept"))
 
 
-def keep_identified(docs: DataFrame, **columns) -> DataFrame:
+def keep_identified(rows: DataFrame, text: Column, **columns: Column) -> DataFrame:
     """Only rows whose language is identified; the input columns."""
-    return identify(docs, **columns).where("_lang_kept").select(*docs.columns)
+    return unwrap(identify(rows, text, **columns).where("kept"))
 
 
 def identify_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -165,13 +162,12 @@ def identify_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url
     suffix come from the address, the text is what stands outside tags."""
     bare = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
     declared = F.regexp_extract(html_col, r"""(?i)<html[^>]*\blang\s*=\s*["']?([a-zA-Z]{2})""", 1)
-    rows = pages.withColumn("page_text", bare).withColumn("page_lang", declared)
-    return identify(rows, text_col="page_text", declared_col="page_lang", url_col=url_col).drop("page_text", "page_lang")
+    return identify(pages, bare, declared=declared, url=F.col(url_col))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` have no address: the source stands for the host, ``lang`` for the
     declared markup language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, text_col="text", declared_col="lang", host_col="source")
-    return found.select("doc_id", F.col("_lang").alias("language"), F.col("_lang_posterior").alias("posterior"), F.col("_lang_kept").alias("kept"))
+    found = identify(docs, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("row.doc_id", "language", "posterior", "kept")

@@ -7,8 +7,8 @@ so reruns and retried tasks agree.
 
 Defined results: a null text has size 0; null sources form one source, the last in order;
 rows that repeat an id and a size draw alike; a source of size 0 has target and rate 0;
-an empty table gives empty tables. ``mix_sources`` keeps all input columns; its helper
-columns begin with ``_mix_``, and an input column of that name is refused.
+an empty table gives empty tables. ``mix_sources`` keeps all input columns, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pivotlake.llm.common import materialize, table, word_count
+from pivotlake.llm.common import materialize, table, unwrap, word_count, wrap
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -57,33 +57,29 @@ def draw(*parts: Column, seed: str = SEED) -> Column:
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The input rows with ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and
-    ``_mix_copies``. The rates are written first (one row per source) and broadcast only if
-    they are few; else the join shuffles and splits skewed partitions."""
-    if clash := [c for c in docs.columns if c.startswith("_mix_")]:
-        raise ValueError(f"reserved column names: {clash}")
+    """``(row, size, source_size, target, copies)`` per input row, the row itself as a
+    struct. The rates are written first (one row per source) and broadcast only if they are
+    few; else the join shuffles and splits skewed partitions."""
     rates = materialize(source_rates(docs, weights, ceiling, text_col, source_col), "mix-rates")
-    rates = rates.toDF("_mix_source", "_mix_source_size", "_mix_target", "_mix_rate")
+    rates = rates.withColumnRenamed("source", "own")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    out = docs.withColumn("_mix_size", word_count(F.col(text_col))).join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left")
-    whole = F.floor("_mix_rate")
-    extra = (draw(F.col(id_col), F.col("_mix_size"), seed=seed) < F.col("_mix_rate") - whole).cast("long")
-    return out.withColumn("_mix_copies", whole + extra).drop("_mix_source", "_mix_rate")
+    rows = wrap(docs, id=F.col(id_col), source=F.col(source_col), size=word_count(F.col(text_col)))
+    out = rows.join(rates, F.col("source").eqNullSafe(F.col("own")), "left")
+    whole = F.floor("rate")
+    extra = (draw(F.col("id"), F.col("size"), seed=seed) < F.col("rate") - whole).cast("long")
+    return out.select("row", "size", "source_size", "target", (whole + extra).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every input row as often as the plan says."""
     plan = mixing_plan(docs, **options)
-    copies = plan.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return copies.select(*docs.columns)
+    return unwrap(plan.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing_plan(table(spark, sf_dir, "documents"))
-    return plan.select(
-        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken")
-    )
+    plan = mixing_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = rf"""

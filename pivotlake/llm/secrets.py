@@ -11,8 +11,8 @@ lengths add up to every start. All positions count code points, ends are exclusi
 
 Defined results: null texts count as empty; null ids pass through; rows that repeat id and
 text get the same spans each; no spans: counts 0, digest of the empty string, empty list.
-Other columns pass through ``redact_secrets`` and are not read elsewhere; names beginning
-with ``_sec_`` are reserved.
+Other columns pass through ``redact_secrets``, whatever their names, and are not read
+elsewhere.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotlake.llm.common import materialize, table
+from pivotlake.llm.common import materialize, table, wrap
 
 #: Kinds in the order in which spans of one start are listed: base ones, then the method's.
 KINDS = ("assign", "access", "hex", "endpoint", "weak")
@@ -118,18 +118,19 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """The input rows with every reported span replaced by ``mask``; overlapping spans are
     joined first. A null text stays null. Rows are matched by id and text, so repeated rows
     stay as many as they are."""
-    found = scan_secrets(docs, text_col, id_col, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_sec_d"), F.col("_key").alias("_sec_k"), F.col("spans").alias("_sec_spans")).dropDuplicates(["_sec_d", "_sec_k"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_sec_d")) & (F.xxhash64(text) == F.col("_sec_k")), "left")
-    merged = F.expr("""aggregate(_sec_spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) ->
+    found = scan_secrets(docs, text_col, id_col, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("_key").alias("k"), "spans").dropDuplicates(["d", "k"])
+    rows = wrap(docs, id=F.col(id_col), text=F.col(text_col), key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    merged = F.expr("""aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) ->
       if(size(a) > 0 and s.start <= element_at(a, -1).end,
          concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, s.end) as end))),
          concat(a, array(struct(s.start as start, s.end as end)))))""")
     kept = F.expr(f"""concat(
-      array_join(transform(_sec_m, (s, i) -> concat(substring(`{text_col}`, cast(coalesce(get(_sec_m, i - 1).end, 0L) + 1 as int), cast(s.start - coalesce(get(_sec_m, i - 1).end, 0L) as int)), '{mask}')), ''),
-      substring(`{text_col}`, cast(element_at(_sec_m, -1).end + 1 as int)))""")
-    clean = F.when(F.col("_sec_m").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumn("_sec_m", merged).withColumn(text_col, clean).select(*docs.columns)
+      array_join(transform(m, (s, i) -> concat(substring(text, cast(coalesce(get(m, i - 1).end, 0L) + 1 as int), cast(s.start - coalesce(get(m, i - 1).end, 0L) as int)), '{mask}')), ''),
+      substring(text, cast(element_at(m, -1).end + 1 as int)))""")
+    clean = F.when(F.col("m").isNull(), F.col("text")).otherwise(kept)
+    out = joined.withColumn("m", merged).withColumn("clean", clean)
+    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
