@@ -8,15 +8,16 @@ together in some leaf with probability of at least 0.9375 at any depth (the root
 p = 1 - (1 - 0.8 p)^2), and ``TREES`` = 4 independent trees miss it with probability 2e-5.
 
 Nodes of at most ``LEAF`` documents are compared exhaustively on signatures; larger ones
-branch again, down to ``DEPTH``. What is still large there is a group of near copies:
-it is compared with one representative first, and then its documents outside the node's
-main component with all of the node, in blocks. Links are confirmed on full sets:
+branch again, down to ``DEPTH``. What is still large there is a family of near copies;
+large nodes of one smallest id are one family. It is compared with that head first, and then
+its documents outside the family's main component, as a stated query set, with all of the
+family, in blocks that confirm on full sets and return links only. The steps:
 
 1. exact copies of a set are one entity, of the smallest id;
 2. every entity is verified against its most similar smaller-id partner; verified links form
    a forest, whose roots are components so far;
-3. pairs of different components that share a node are compared exhaustively and verified;
-   these links contract components.
+3. documents of different components that share a node are compared exhaustively; verified
+   links contract components.
 
 No links, components or fingerprints come to the driver, no pairs inside one component are
 emitted, and every intermediate table is written to the shared folder.
@@ -238,17 +239,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, asked_block, block, id, brief, comp, asks)``, sorted, to close pairs of an
-    asking row and a row of another component."""
+    """``(head, asked_block, block, id, brief, comp, asks, set)``, sorted, to one confirmed
+    link, if there is any, of every asking row with every other component in its block.
+    Signatures choose the rows whose full sets are compared."""
     for t in _by_node(batches, 3):
         cut = np.flatnonzero(np.any([np.diff(t.column(k).to_numpy()) != 0 for k in range(3)], axis=0)) + 1
         ids, comp, asks, brief = t["id"].to_numpy(), t["comp"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), _bytes(t["brief"].combine_chunks(), "u1")
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t["set"]]
+        size = np.array([len(x) for x in sets])
         for own in np.split(np.arange(len(ids)), cut):
             rest = own[~asks[own]]
             for q in own[asks[own]]:
                 near = rest[((brief[rest] == brief[q]).mean(1) >= LEAST_AGREEMENT) & (comp[rest] != comp[q])]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[near], ids[q])), pa.array(np.maximum(ids[near], ids[q]))], ["a", "b"])
+                if not len(near):
+                    continue
+                every, mine = np.concatenate([sets[k] for k in near]), sets[q]
+                found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                both = np.add.reduceat(found.astype("i8"), np.cumsum(size[near]) - size[near])
+                ok = near[100 * both >= 80 * (size[near] + len(mine) - both)]
+                if len(ok):
+                    ok = ok[np.unique(comp[ok], return_index=True)[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[ok], ids[q])), pa.array(np.maximum(ids[ok], ids[q]))], ["a", "b"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +353,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
 
     # the closest partner of smaller id, in small nodes and against a large node's smallest id
     near = small.join(briefs, "id").select("node", "id", "brief").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_partners, "id long, partner long, agree double")
-    large_rows = large.join(briefs, "id")
-    heads = large_rows.groupBy("node").agg(F.min(F.struct("id", "brief")).alias("h"))
-    far = large_rows.join(heads, "node").where("id <> h.id").select("id", "brief", "h.id", "h.brief").toDF("id", "brief", "partner", "partner_brief").mapInArrow(_agreement, "id long, partner long, agree double")
-    head_ids = heads.select(F.col("h.id").alias("id"), F.lit(None).cast("long").alias("partner"), F.lit(0.0).alias("agree"))
+    heads = large.groupBy("node").agg(F.min("id").alias("head"))
+    # nodes of one group of copies hold nearly the same documents: those of one head are one
+    families = materialize(large.join(heads, "node").select("head", "id").distinct(), "families")
+    far = families.where("id <> head").join(briefs, "id").join(briefs.toDF("head", "head_brief"), "head").select("id", "brief", "head", "head_brief").toDF("id", "brief", "partner", "partner_brief").mapInArrow(_agreement, "id long, partner long, agree double")
+    head_ids = families.where("id = head").select("id", F.lit(None).cast("long").alias("partner"), F.lit(0.0).alias("agree"))
     ranked = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
     chosen = materialize(near.union(far).union(head_ids).groupBy("id").agg(ranked.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
     sets = materialize(full_sets(docs, chosen, size, text_col, id_col), "sets")
@@ -355,9 +367,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
     # pairs of different components that share a node
     known = materialize(relabel(chosen.select("id", F.col("id").alias("comp")), "comp", forest).join(briefs, "id"), "known")
     across = small.join(known, "id").select("node", "id", "brief", "comp").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_across, "a long, b long")
-    own = large.join(known, "id")
-    parts = own.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("size > main.n")
-    parted = own.join(parts, "node").withColumn("asks", F.col("comp") != F.col("main.comp"))
+    own = families.join(known, "id")
+    parts = own.groupBy("head", "comp").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("size > main.n")
+    parted = own.join(parts, "head").join(sets, "id").withColumn("asks", F.col("comp") != F.col("main.comp"))
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
     parted = parted.withColumn("n_asked", blocks(F.col("size") - F.col("main.n"))).withColumn("n_all", blocks(F.col("size")))
     spot = F.xxhash64("id")
@@ -365,10 +377,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
     dealt = (
         parted.where("asks").withColumn("asked_block", F.pmod(spot, F.col("n_asked"))).withColumn("block", every("n_all"))
         .unionByName(parted.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(spot, F.col("n_all"))).withColumn("asked_block", every("n_asked")))
-        .select("node", "asked_block", "block", "id", "brief", "comp", "asks")
+        .select("head", "asked_block", "block", "id", "brief", "comp", "asks", "set")
     )
-    blocked = dealt.repartition("node", "asked_block", "block").sortWithinPartitions("node", "asked_block", "block").mapInArrow(_blocks, "a long, b long")
-    more = confirm_links(across.union(blocked).distinct(), sets)
+    blocked = dealt.repartition("head", "asked_block", "block").sortWithinPartitions("head", "asked_block", "block").mapInArrow(_blocks, "a long, b long")
+    more = confirm_links(across.distinct(), sets).union(blocked)
     roots = known.select("id", "comp")
     edges = more.join(roots.toDF("a", "ca"), "a").join(roots.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = contract(edges)
@@ -382,8 +394,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
 
 def drop_near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
-    kept = near_duplicates(docs, size, text_col, id_col).where("kept").select(F.col("doc_id").alias("_dup_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_dup_id")), "left_semi")
+    kept = near_duplicates(docs, size, text_col, id_col).where("kept").select("doc_id").distinct()
+    return docs.alias("l").join(kept.alias("r"), F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")), "left_semi")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
