@@ -31,7 +31,15 @@ def split_embeddings(spark: SparkSession, sf_dir: str, n_queries: int = 5, n_piv
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = F.col("embedding").cast("array<double>")
     part = lambda low, high, key, name: e.where((F.col("vec_id") >= low) & (F.lit(True) if high is None else F.col("vec_id") < high)).select((F.col("vec_id") - low).alias(key), v.alias(name))
-    return VectorSet(part(n_queries + n_pivots, None, "obj_id", "v"), part(n_queries, n_queries + n_pivots, "ref_id", "rv"), part(0, n_queries, "q_id", "qv"))
+    return VectorSet(spread(part(n_queries + n_pivots, None, "obj_id", "v")), part(n_queries, n_queries + n_pivots, "ref_id", "rv"), part(0, n_queries, "q_id", "qv"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if their scan has fewer tasks than that: a small file is one
+    task, and scoring costs far more than moving it. Large scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if tasks < cores else rows
 
 
 def select_prefix(rows: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def _points(spark: SparkSession, sf_dir: str) -> VectorSet:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     v = F.array(F.floor(F.col("o_totalprice") / 1000), F.dayofyear("o_orderdate"), F.col("o_custkey") % 256).cast("array<double>")
     cut = lambda low, high, key, name: o.where((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < high)).select((F.col("o_orderkey") - low).alias(key), v.alias(name))
-    return VectorSet(cut(N_QUERIES + N_PIVOTS, 2**62, "obj_id", "v"), cut(N_QUERIES, N_QUERIES + N_PIVOTS, "ref_id", "rv"), cut(0, N_QUERIES, "q_id", "qv"))
+    return VectorSet(vectors.spread(cut(N_QUERIES + N_PIVOTS, 2**62, "obj_id", "v")), cut(N_QUERIES, N_QUERIES + N_PIVOTS, "ref_id", "rv"), cut(0, N_QUERIES, "q_id", "qv"))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
