@@ -8,12 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = 4 << 20
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package as a zip to the session's files, once per Spark context; executors
-    fetch it from the driver, so nothing need be installed on them."""
+    fetch it from the driver, so nothing need be installed on them. Arrow batches of the
+    session get a bound."""
+    # texts can be long: bound the batches that workers hold by bytes, not by rows only
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_pivotlake_shipped", False):
         return
