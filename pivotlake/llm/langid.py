@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,9 +74,9 @@ def text_evidence(text: str | None) -> list[float]:
     return [total[lang] for lang in LANGUAGES] + [float(hits)]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _text_evidence(texts: pd.Series) -> pd.Series:
-    return pd.Series([text_evidence(t) for t in texts], dtype=object)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _text_evidence(texts: pa.Array) -> pa.Array:
+    return pa.array([text_evidence(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 def _categorical(value: Column, right: float) -> Column:
