@@ -21,6 +21,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +41,38 @@ RIDGE = 1e-3
 FOLDS = 5
 
 #: Function words of the supported languages (fixed values).
-_STOP = frozenset("the of and to a in is it that for with as was on be by are this der die das und ist nicht ein eine zu den von mit sich auf für dem le la les et de des un une que qui en du dans pour est sur par el los las y una por con no para se su al lo".split())
-_RATIOS = ("|", "#$%*&<>", "!", "?", ".", ",", "0123456789", "{}[]()=;", "\"'")
-_DROP = [str.maketrans("", "", s) for s in _RATIOS]
-_UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-N_BASE = 21
+_STOP_WORDS = "the of and to a in is it that for with as was on be by are this der die das und ist nicht ein eine zu den von mit sich auf für dem le la les et de des un une que qui en du dans pour est sur par el los las y una por con no para se su al lo".split()
+_STOP = frozenset(f(w).encode() for w in _STOP_WORDS for f in (str.lower, str.upper, str.capitalize))
+#: Characters whose shares are features, a group each.
+_GROUPS = (b"|", b"#$%*&<>", b"!", b"?", b".", b",", b"0123456789", b"{}[]()=;", b"\"'")
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+N_BASE = 19
 
 
 def text_features(text: str | None) -> list[float]:
-    """Measures of one text; shares are taken of words or characters."""
-    out = [0.0] * N_BASE
-    words = (text or "").split()
+    """Measures of one text; shares are taken of words or characters. Bytes are counted
+    whole passes at a time; only distinct words are looked at one by one."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.split()
     if not words:
-        return out
-    n, chars = len(words), len(text)
-    lines = [x for x in text.split("\n") if x.strip()]
+        return [0.0] * N_BASE
+    n, chars = len(words), len(raw)
+    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     counts = Counter(words)
-    pairs = Counter(zip(words, words[1:], strict=False))
-    starts = sum(v for k, v in counts.items() if k[0].isupper())
-    out[:12] = [
+    missing = lambda group: chars - len(raw.translate(None, group))
+    return [
         math.log1p(n),
-        sum(map(len, words)) / n / 10,
+        (chars - n) / n / 10,
         len(counts) / n,
-        counts.most_common(1)[0][1] / n,
-        sum(v for v in pairs.values() if v > 1) / n,
-        sum(v for (a, b), v in pairs.items() if a == b) / n,
-        sum(v for k, v in counts.items() if k.lower() in _STOP) / n,
-        starts / n,
-        (chars - len(text.translate(_UPPER))) / chars,
+        max(counts.values()) / n,
+        sum(map(eq, words, islice(words, 1, None))) / n,
+        sum(counts[w] for w in _STOP & counts.keys()) / n,
+        missing(_UPPER) / chars,
         1 - len(set(lines)) / len(lines),
         math.log1p(n / len(lines)) / 5,
         sum(map(len, lines)) / chars,
+        *(missing(g) / n for g in _GROUPS),
     ]
-    out[12:] = [(chars - len(text.translate(d))) / n for d in _DROP]
-    return out
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
             x = pa.array([text_features(t.as_py()) for t in b.column(2)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["_id", "_y", "_x"])
 
-    rows = docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select("_id", "_y", text_col)
+    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t"))
+    rows = texts.join(F.broadcast(own), F.col("_d") == F.col("_id")).select("_id", "_y", "_t")
     found = rows.mapInArrow(features, "_id long, _y long, _x array<double>").groupBy("_id").agg(F.min(F.struct("_y", "_x")).alias("r"))
     got = sorted((r["_id"], r["r"]["_y"], r["r"]["_x"]) for r in found.collect())
     y = np.array([r[1] for r in got])
