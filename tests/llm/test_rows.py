@@ -145,6 +145,12 @@ def test_chat(spark):
     shown = {(r["conv_id"], r["example"]): r for r in chat.render_examples(made).collect()}
     assert sum(c == 4 for c, _ in shown) == 150 and shown[4, 1]["reply"] == "t1" and shown[4, 1]["context"].endswith("<turn role=assistant>\n")
     assert shown[4, 299]["context"].count("</turn>") == 299
+    plain = lambda t: t.replace("\\l", "<").replace("\\b", "\\")
+    for c, r in got.items():  # the digest of the loss is that of the examples' own masks
+        masked = "".join(plain(shown[k]["reply"]) for k in sorted((k for k in shown if k[0] == c), key=lambda k: k[1]))
+        assert r["loss_sha256"] == hashlib.sha256(masked.encode()).hexdigest()
+    plan = chat.read_back(made)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     assert chat.read_back(chat.transcripts(d.where("false"))).count() == 0
 
 
