@@ -128,10 +128,11 @@ class RareIndex:
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word positions at which the phrase's words stand, in a text joined by single spaces
     with a space at either end."""
-    out, at = [], joined.find(phrase)
+    out, place, last, at = [], 0, 0, joined.find(phrase)
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
-        at = joined.find(phrase, at + 1)
+        place += joined.count(b" ", last, at)
+        out.append(place)
+        last, at = at, joined.find(phrase, at + 1)
     return out
 
 
