@@ -41,8 +41,9 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids one worker keeps (some 200 bytes each).
 CACHED_CHUNKS = 800_000
-#: Numbering of equal lengths is spread over so many buckets.
-BUCKETS = 64
+#: Numbering of equal lengths is spread over so many buckets at least, and over more where
+#: they would hold more than so many pieces each.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Python counts these as white space, the tokenizer does not.
@@ -218,11 +219,14 @@ class Slots:
         return sequence, offset
 
 
-def number_pieces(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def number_pieces(pieces: DataFrame, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``number``: 0, 1, ... among the pieces of one length. Pieces are numbered inside
-    buckets of a hash of their identity; the buckets' first numbers are sums of counts, a
-    table bounded by capacity x buckets."""
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets of a hash of their identity; a length gets as many buckets as its count asks
+    for, so that one common length does not bound the run. The buckets' first numbers are
+    sums of counts, a table of capacity x buckets + pieces / bucket_rows rows at most."""
+    wide = F.greatest(F.lit(buckets), F.ceil(F.count("*") / bucket_rows)).alias("n_buckets")
+    dealt = F.broadcast(pieces.groupBy("length").agg(wide))  # a row per length: capacity rows at most
+    keyed = pieces.join(dealt, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("n_buckets"))).drop("n_buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
