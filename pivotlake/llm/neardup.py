@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pivotlake.functions.shipping import ship
-from pivotlake.llm.common import discard, materialize, table
+from pivotlake.llm.common import discard, lean, materialize, table
 
 TREES, FANOUT, DEPTH, LEAF = 4, 2, 4, 96
 #: Signature coordinates; pairs whose signatures agree in fewer than 0.6 of them are four
@@ -123,7 +123,7 @@ def sketch(docs: DataFrame, size: int = 2, text_col: str = "text", id_col: str =
                 brief.append(s.astype("u1").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, brief))], ["doc_id", "n", "digest", "sig", "brief"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, sig binary, brief binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(lean(run), "doc_id long, n long, digest binary, sig binary, brief binary")
 
 
 def _bytes(column: pa.Array, kind: str) -> np.ndarray:
@@ -162,7 +162,7 @@ def grow_trees(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     stay large at the last depth. One level a turn: count nodes, keep shared ones, branch
     the large ones again."""
     sigs = entities.select("id", "sig")
-    rows = sigs.select(F.lit(None).cast("long").alias("node"), "id", "sig").mapInArrow(_branch, "node long, id long")
+    rows = sigs.select(F.lit(None).cast("long").alias("node"), "id", "sig").mapInArrow(lean(_branch), "node long, id long")
     small = []
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, f"nodes-{depth}")
@@ -172,7 +172,7 @@ def grow_trees(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
         small.append(shared.where(F.col("size") <= LEAF).select("node", "id"))
         large = shared.where(F.col("size") > LEAF).select("node", "id")
         if depth < DEPTH:
-            rows = large.join(sigs, "id").select("node", "id", "sig").mapInArrow(_branch, "node long, id long")
+            rows = large.join(sigs, "id").select("node", "id", "sig").mapInArrow(lean(_branch), "node long, id long")
     return reduce(DataFrame.union, small), large
 
 
@@ -286,7 +286,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``(a, b)`` whose full sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirm), "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -300,7 +300,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = 2, text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids.select("id"), "id", "left_semi")
-    return own.mapInArrow(run, "id long, set binary").where(F.length("set") > 0)
+    return own.mapInArrow(lean(run), "id long, set binary").where(F.length("set") > 0)
 
 
 def compress(forest: DataFrame) -> DataFrame:
@@ -352,11 +352,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
     briefs = entities.select("id", "brief")
 
     # the closest partner of smaller id, in small nodes and against a large node's smallest id
-    near = small.join(briefs, "id").select("node", "id", "brief").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_partners, "id long, partner long, agree double")
+    near = small.join(briefs, "id").select("node", "id", "brief").repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_partners), "id long, partner long, agree double")
     heads = large.groupBy("node").agg(F.min("id").alias("head"))
     # nodes of one group of copies hold nearly the same documents: those of one head are one
     families = materialize(large.join(heads, "node").select("head", "id").distinct(), "families")
-    far = families.where("id <> head").join(briefs, "id").join(briefs.toDF("head", "head_brief"), "head").select("id", "brief", "head", "head_brief").toDF("id", "brief", "partner", "partner_brief").mapInArrow(_agreement, "id long, partner long, agree double")
+    far = families.where("id <> head").join(briefs, "id").join(briefs.toDF("head", "head_brief"), "head").select("id", "brief", "head", "head_brief").toDF("id", "brief", "partner", "partner_brief").mapInArrow(lean(_agreement), "id long, partner long, agree double")
     head_ids = families.where("id = head").select("id", F.lit(None).cast("long").alias("partner"), F.lit(0.0).alias("agree"))
     ranked = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
     chosen = materialize(near.union(far).union(head_ids).groupBy("id").agg(ranked.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
 
     # pairs of different components that share a node
     known = materialize(relabel(chosen.select("id", F.col("id").alias("comp")), "comp", forest).join(briefs, "id"), "known")
-    across = small.join(known, "id").select("node", "id", "brief", "comp").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_across, "a long, b long")
+    across = small.join(known, "id").select("node", "id", "brief", "comp").repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_across), "a long, b long")
     own = families.join(known, "id")
     parts = own.groupBy("head", "comp").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("size > main.n")
     parted = own.join(parts, "head").join(sets, "id").withColumn("asks", F.col("comp") != F.col("main.comp"))
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
         .unionByName(parted.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(spot, F.col("n_all"))).withColumn("asked_block", every("n_asked")))
         .select("head", "asked_block", "block", "id", "brief", "comp", "asks", "set")
     )
-    blocked = dealt.repartition("head", "asked_block", "block").sortWithinPartitions("head", "asked_block", "block").mapInArrow(_blocks, "a long, b long")
+    blocked = dealt.repartition("head", "asked_block", "block").sortWithinPartitions("head", "asked_block", "block").mapInArrow(lean(_blocks), "a long, b long")
     more = confirm_links(across.distinct(), sets).union(blocked)
     roots = known.select("id", "comp")
     edges = more.join(roots.toDF("a", "ca"), "a").join(roots.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))

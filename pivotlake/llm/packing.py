@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pivotlake.functions.shipping import ship
-from pivotlake.llm.common import materialize, table
+from pivotlake.llm.common import lean, materialize, table
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids one worker keeps (some 200 bytes each).
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 200_000
 #: Numbering of equal lengths is spread over so many buckets at least, and over more where
 #: they would hold more than so many pieces each.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
@@ -138,7 +138,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPA
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(cut), PIECES)
 
 
 def fullest(counts: list[int], first: int, capacity: int) -> dict[int, int]:
@@ -250,7 +250,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield from t.to_batches()
 
     numbered = number_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return numbered.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return numbered.mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
