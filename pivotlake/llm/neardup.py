@@ -392,11 +392,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_c
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
+def drop_near_duplicates(docs: DataFrame, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component. Shingles have five
+    words; two are the contract of op2 only, and link documents that merely share phrases."""
     kept = near_duplicates(docs, size, text_col, id_col).where("kept").select("doc_id").distinct()
     return docs.alias("l").join(kept.alias("r"), F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")), "left_semi")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)

@@ -230,3 +230,35 @@ def test_pipeline(spark, odd):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.where("false"), DATA).count() == 0
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_pipeline_stage_compares_five_words(spark):
+    """The near-dedup stage against all pairs, on exact sets of five-word shingles."""
+    import corpus_pipeline
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rng = random.Random(9)
+    for k in range(40):  # few words changed: alike in pairs of words, not in runs of five
+        t = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        u = list(t)
+        for at in rng.sample(range(60), k % 5):
+            u[at] = f"y{rng.randrange(10**6)}"
+        rows += [(10**6 + 2 * k, " ".join(t)), (10**6 + 2 * k + 1, " ".join(u))]
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(sets, 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    out = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i in sets if find(i) == i)
