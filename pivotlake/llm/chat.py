@@ -1,11 +1,11 @@
 r"""Chat formatting: every assistant turn becomes an example of its own, whose context is
 all preceding turns and whose only trainable text is that reply.
 
-The examples of one conversation are prefixes of one transcript, so the transcript is kept
+The examples of one conversation are prefixes of one transcript, so the transcript is formed
 once, as formatted segments (one per turn), and an example is a range over it:
 ``[0, context_end)`` is context and ``[loss_start, loss_end)`` the reply under the mask.
-That holds the output linear in the input, where copying every prefix would be quadratic in
-the length of a conversation. ``render_examples`` writes prefixes out as texts where wanted.
+``written_examples`` writes every context out, which is quadratic in the turns of a
+conversation; the query does so, too, and takes its digests from these examples.
 
 Template: ``<turn role=R>\n`` text ``\n</turn>\n``. Inside a text ``\`` becomes ``\b`` and
 ``<`` becomes ``\l``, in a role also ``>`` becomes ``\g`` and a line feed ``\n``; so no text
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pivotlake.llm.common import table
 
 BLOCK = 64
+END = "\n</turn>\n"
 
 
 def escape(text: Column) -> Column:
@@ -100,29 +101,51 @@ def render_examples(formatted: DataFrame) -> DataFrame:
     return formatted.join(e, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "example", cut[0].alias("context"), cut[1].alias("reply"))
 
 
+def written_examples(formatted: DataFrame) -> DataFrame:
+    """``(conv_id, example, context, known, reply)``, one row per assistant turn: its context
+    written out, of which the example before holds the first ``known`` code points, and its
+    reply. Turns after the last reply are no example's; they follow as a row whose reply is
+    null, with the whole transcript as context."""
+    before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    marked = (
+        masked_segments(formatted)
+        .withColumn("known", F.coalesce(F.max("loss_end").over(before) + F.length(F.lit(END)), F.lit(0)))
+        .withColumn("last", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull())
+        .where(F.col("loss_start").isNotNull() | F.col("last"))
+        .select(F.col("conv_id").alias("_c"), F.col("n").alias("example"), F.coalesce("loss_start", F.col("start") + F.length("segment")).alias("context_end"), "loss_start", "loss_end", "known")
+    )
+    cut = F.expr("substring(transcript, 1, cast(context_end as int))"), F.expr("substring(transcript, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))")
+    return formatted.join(marked, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "example", cut[0].alias("context"), "known", cut[1].alias("reply"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads everything back from the formatted output: turns by parsing the transcript, the
-    trainable text by the masked ranges of the examples (``[loss_start, loss_end)``)."""
+    """Makes every example, its context written out, and reads everything back from them:
+    turns by parsing contexts and replies, the trainable text from the replies."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     formatted = transcripts(given.unionByName(own))
     return read_back(formatted)
 
 
+def _turn(segment: Column) -> Column:
+    """Role and text of a formatted turn, a line feed after each."""
+    role = unescape_role(F.regexp_extract(segment, r"^<turn role=([^>]*)>", 1))
+    text = unescape(F.substr(segment, F.instr(segment, "\n") + 1, F.length(segment) - F.instr(segment, "\n") - F.length(F.lit(END))))
+    return F.concat(role, F.lit("\n"), text, F.lit("\n"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation, from the segments and the masks of its examples. A mask lies
-    inside the segment of its reply, so its text is cut from there: reading all masks is
-    linear, where cutting each from the whole transcript would be quadratic."""
-    s = F.col("segment")
-    role = unescape_role(F.regexp_extract(s, r"^<turn role=([^>]*)>", 1))
-    text = unescape(F.substr(s, F.instr(s, "\n") + 1, F.length(s) - F.instr(s, "\n") - F.length(F.lit("\n</turn>\n"))))
-    masked = unescape(F.substr(s, (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    """Digests per conversation, from its written examples. Each gives the turns of its
+    context that the one before does not hold, and its reply; so each turn counts once."""
+    fresh = F.concat(F.expr("substring(context, cast(known + 1 as int))"), F.coalesce(F.concat("reply", F.lit(END)), F.lit("")))
     joined = lambda parts: F.array_join(F.array_sort(parts)["x"], "")
     return (
-        masked_segments(formatted)
-        .select("conv_id", s, F.struct("n", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("x")).alias("_t"), F.when(F.col("loss_start").isNotNull(), F.struct("n", masked.alias("x"))).alias("_m"))
+        written_examples(formatted)
+        .select("conv_id", "example", "reply", fresh.alias("_f"))
+        .select("conv_id", "example", "reply", F.length("_f").alias("_chars"), segments(F.col("_f")).alias("_s"))
+        .select("conv_id", "_chars", F.size("_s").cast("long").alias("_n"), F.struct("example", F.array_join(F.transform("_s", _turn), "").alias("x")).alias("_t"), F.when(F.col("reply").isNotNull(), F.struct("example", unescape(F.col("reply")).alias("x"))).alias("_m"))
         .groupBy("conv_id")
-        .agg(F.count("*").alias("n_turns"), F.collect_list("_t").alias("_t"), F.collect_list("_m").alias("_m"), F.sum(F.length("segment")).alias("formatted_chars"))
+        .agg(F.sum("_n").alias("n_turns"), F.collect_list("_t").alias("_t"), F.collect_list("_m").alias("_m"), F.sum("_chars").alias("formatted_chars"))
         .withColumn("_loss", joined(F.col("_m")))
         .select("conv_id", "n_turns", F.sha2(joined(F.col("_t")), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")
     )

@@ -168,3 +168,23 @@ def test_licences(spark, odd, none):
         assert 0 <= r["score"] <= 1
     assert "apache-2.0" in rows[1]["labels"] and "apache-2.0" not in rows[3]["labels"]
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
+
+
+def test_chat_query_writes_every_example(spark):
+    """Contexts against the template turn by turn, and the query's rows from them."""
+    rows = [(1, k, ("user", "assistant")[k % 2], f"t{k} <é") for k in range(9)] + [(2, 0, "user", "only"), (3, 0, "assistant", "a"), (3, 1, "assistant", ""), (None, 0, "assistant", "x"), (None, 1, "user", "y")]
+    made = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segment = lambda r: f"<turn role={r[2]}>\n" + r[3].replace("<", "\\l") + "\n</turn>\n"
+    want = {}
+    for c in {r[0] for r in rows}:
+        own, known = [r for r in rows if r[0] == c], 0
+        for k, r in enumerate(own):
+            past = "".join(map(segment, own[:k]))
+            if r[2] == "assistant":
+                want[c, k] = (past + "<turn role=assistant>\n", known, r[3].replace("<", "\\l"))
+                known = len(past + segment(r))
+            elif k == len(own) - 1:
+                want[c, k] = (past + segment(r), known, None)
+    assert {(r["conv_id"], r["example"]): (r["context"], r["known"], r["reply"]) for r in chat.written_examples(made).collect()} == want
+    plan = chat.op7_chat_format(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(transcript" in plan and "context" in plan
