@@ -166,8 +166,13 @@ def identify_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` have no address: the source stands for the host, ``lang`` for the
-    declared markup language."""
+    """All pages with all kinds of evidence, and all documents, which have neither address nor
+    markup: there the source stands for the host, ``lang`` for the declared markup language.
+    The tables are judged apart, each with priors of its own; a row has a ``doc_id`` or a
+    ``page_id``, the other is null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, F.col("text"), declared=F.col("lang"), host=F.col("source"))
-    return found.select("row.doc_id", "language", "posterior", "kept")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    none = F.lit(None).cast("long")
+    of_docs = identify(docs, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    of_pages = identify_pages(pages)
+    return of_docs.select("row.doc_id", none.alias("page_id"), "language", "posterior", "kept").union(of_pages.select(none.alias("doc_id"), "row.page_id", "language", "posterior", "kept"))

@@ -262,3 +262,14 @@ def test_pipeline_stage_compares_five_words(spark):
             root[y] = x
     out = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i in sets if find(i) == i)
+
+
+def test_language_query_covers_pages_and_documents(spark):
+    found = langid.op3_language_id(spark, DATA).collect()
+    docs, pages = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "pages"))
+    assert sorted(r["doc_id"] for r in found if r["page_id"] is None) == sorted(r["doc_id"] for r in docs.collect())
+    own = {r["page_id"]: r["language"] for r in found if r["page_id"] is not None}
+    addresses = {r["page_id"]: r["url"] for r in pages.collect()}
+    assert own.keys() == addresses.keys()
+    told = [(m[1], own[i]) for i, u in addresses.items() if (m := re.search(r"/(en|de|fr|es)/", u))]
+    assert sum(a == b for a, b in told) / len(told) >= 0.9
