@@ -5,7 +5,8 @@ branches documents by signature coordinates that the path so far selects, the sa
 documents of a node, so that two documents go on together as long as the selected minwise
 tokens agree. Each node selects ``FANOUT`` = 2 coordinates: a pair of similarity 0.8 stays
 together in some leaf with probability of at least 0.9375 at any depth (the root of
-p = 1 - (1 - 0.8 p)^2), and ``TREES`` = 4 independent trees miss it with probability 2e-5.
+p = 1 - (1 - 0.8 p)^2), and ``TREES`` = 4 independent trees miss it with probability 1.5e-5. The
+comparison of signatures misses another 4e-6, so both together miss it with 2e-5.
 
 Nodes of at most ``LEAF`` documents are compared exhaustively on signatures; larger ones
 branch again, down to ``DEPTH``. What is still large there is a family of near copies;
@@ -44,9 +45,9 @@ from pivotlake.functions.shipping import ship
 from pivotlake.llm.common import discard, lean, materialize, table
 
 TREES, FANOUT, DEPTH, LEAF = 4, 2, 4, 96
-#: Signature coordinates; pairs whose signatures agree in fewer than 0.6 of them are four
-#: standard deviations under 0.8.
-COORDINATES, LEAST_AGREEMENT = 64, 0.6
+#: Signature coordinates, and the share of them that must agree before full sets are compared:
+#: a pair of similarity 0.8 agrees in fewer than 36 of 64 with probability 4e-6.
+COORDINATES, LEAST_AGREEMENT = 64, 0.55
 BLOCK = 1024
 
 _R = np.uint64(0x9E3779B97F4A7C15)

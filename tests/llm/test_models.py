@@ -1,6 +1,7 @@
 """Near duplicates, language ID, classifier, nearest neighbours, packing, pipeline."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -273,3 +274,10 @@ def test_language_query_covers_pages_and_documents(spark):
     assert own.keys() == addresses.keys()
     told = [(m[1], own[i]) for i, u in addresses.items() if (m := re.search(r"/(en|de|fr|es)/", u))]
     assert sum(a == b for a, b in told) / len(told) >= 0.9
+
+
+def test_signature_filter_misses_less_than_the_trees():
+    """Binomial chances, for a pair of similarity 0.8, to fall under the least agreement."""
+    n = neardup.COORDINATES
+    agreed = [math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k / n < neardup.LEAST_AGREEMENT]
+    assert sum(agreed) < (1 - 0.9375) ** neardup.TREES
