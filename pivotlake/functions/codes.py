@@ -23,14 +23,18 @@ def gamma_length(x: Column) -> Column:
     return 2 * bit_length(x) - 1
 
 
+def gamma_bits(x: Column) -> Column:
+    """The gamma code as a string of 0 and 1."""
+    return F.concat(F.repeat(F.lit("0"), F.length(F.bin(x)) - 1), F.bin(x))
+
+
 def delta_length(x: Column) -> Column:
     return gamma_length(bit_length(x)) + bit_length(x) - 1
 
 
 def delta_bits(x: Column) -> Column:
     """The delta code as a string of 0 and 1."""
-    size = F.bin(bit_length(x))
-    return F.concat(F.repeat(F.lit("0"), F.length(size) - 1), size, F.substr(F.bin(x), F.lit(2)))
+    return F.concat(gamma_bits(bit_length(x)), F.substr(F.bin(x), F.lit(2)))
 
 
 def pack_cell(obj_id: Column, pos: Column, n: int) -> Column:
@@ -60,3 +64,8 @@ def s9_unpack(words: Column, n_values: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.element_at(counts, mode)), lambda i: F.floor(payload / F.pow(F.lit(2), 28 - width * i)).cast("long").bitwiseAND(mask.cast("long")))
 
     return F.slice(F.flatten(F.transform(words, one)), F.lit(1), n_values.cast("int"))
+
+
+def s9_value(words: Column, n_values: Column, i: Column) -> Column:
+    """The value at place ``i`` from 0, or -1 past the end."""
+    return F.coalesce(F.try_element_at(s9_unpack(words, n_values), (i + 1).cast("int")), F.lit(-1).cast("long"))

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from pivotlake.functions import codes
 from pivotlake.functions.shipping import ship
@@ -31,13 +30,20 @@ def _segment(segment: int | None) -> F.Column:
 
 
 def gap_values(positions: DataFrame, n: int, segment: int | None = None) -> DataFrame:
-    """``(ref_id, obj_id, seg, gap, first)``. The neighbour in the chain is found by a join
-    on the dense object id, not by a window over a whole chain, so a bucket's length bounds
-    nothing."""
-    own = positions.select("ref_id", "obj_id", _segment(segment).alias("seg"), codes.pack_cell(F.col("obj_id"), F.col("pos"), n).alias("cell"))
-    last = own.select("ref_id", (F.col("obj_id") + 1).alias("obj_id"), "seg", F.col("cell").alias("last"))
-    joined = own.join(last, ["ref_id", "obj_id", "seg"], "left")
-    return joined.select("ref_id", "obj_id", "seg", (F.col("cell") - F.coalesce("last", F.lit(0))).alias("gap"), F.col("last").isNull().alias("first"))
+    """``(ref_id, obj_id, seg, gap, first)``. The cell before is found by a window inside runs
+    of ``SEGMENT`` objects, so no task holds a whole chain; where chains are unbroken, a run's
+    first cell looks up the last one of the run before, one row a run."""
+    run = F.floor(F.col("obj_id") / F.lit(segment or SEGMENT)).cast("long").alias("run")
+    own = positions.select("ref_id", "obj_id", run, codes.pack_cell(F.col("obj_id"), F.col("pos"), n).alias("cell"))
+    inside = Window.partitionBy("ref_id", "run").orderBy("obj_id")
+    lagged = own.withColumn("last", F.lag("cell").over(inside))
+    if segment is None:
+        runs = own.groupBy("ref_id", "run").agg(F.max("cell").alias("end"))
+        # a run without cells is passed over: the one before is the last that has any
+        ends = runs.select("ref_id", "run", F.lag("end").over(Window.partitionBy("ref_id").orderBy("run")).alias("before"))
+        lagged = lagged.join(ends, ["ref_id", "run"]).withColumn("last", F.coalesce("last", "before"))
+    seg = F.col("run") if segment else F.lit(0).cast("long")
+    return lagged.select("ref_id", "obj_id", seg.alias("seg"), (F.col("cell") - F.coalesce("last", F.lit(0))).alias("gap"), F.col("last").isNull().alias("first"))
 
 
 def restore_gaps(gaps: DataFrame, n: int, segment: int = SEGMENT) -> DataFrame:
@@ -64,51 +70,84 @@ def delta_sizes(positions: DataFrame, n: int, form: str) -> DataFrame:
     return values.rollup("ref_id").agg(F.sum(codes.delta_length(F.col("value"))).alias("bits"))
 
 
+_POWERS = 2 ** np.arange(63, dtype="i8")
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value; 0 has none."""
+    return np.searchsorted(_POWERS, values, side="right")
+
+
 def delta_pack(values: np.ndarray) -> tuple[int, bytes]:
     """Number of bits and the bytes of the delta codes of ``values`` (each at least 1)."""
     if len(values) and values.min() < 1:
         raise ValueError("delta codes start at 1")
-    size = np.array([int(x).bit_length() for x in values], "i8")
-    head = np.array([int(x).bit_length() for x in size], "i8")
+    values = values.astype("i8")
+    size = _widths(values)
+    head = _widths(size)
     # two fields a value: its bit length behind zeros, then its low bits
-    field = np.stack([size, values.astype("i8") & ((1 << (size - 1)) - 1)], 1).ravel() if len(values) else np.empty(0, "i8")
-    width = np.stack([2 * head - 1, size - 1], 1).ravel() if len(values) else np.empty(0, "i8")
+    field = np.stack([size, values & ((1 << np.maximum(size - 1, 0)) - 1)], 1).ravel()
+    width = np.stack([2 * head - 1, size - 1], 1).ravel()
     total = int(width.sum())
-    start = np.cumsum(width) - width
-    shift = np.repeat(width, width) - 1 - (np.arange(total) - np.repeat(start, width))
+    shift = np.repeat(width, width) - 1 - (np.arange(total) - np.repeat(np.cumsum(width) - width, width))
     bits = (np.repeat(field, width) >> shift) & 1
     return total, np.packbits(bits.astype("u1"), bitorder="little").tobytes().ljust(total // 8 + 1, b"\0")
 
 
-def delta_unpack(code: bytes, n_values: int) -> list[int]:
-    bits = "".join(map(str, np.unpackbits(np.frombuffer(code, "u1"), bitorder="little").tolist()))
-    out, at = [], 0
-    for _ in range(n_values):
-        one = bits.index("1", at)
-        size_end = one + (one - at) + 1
-        size = int(bits[one:size_end], 2)
-        at = size_end + size - 1
-        out.append(int("1" + bits[size_end:at], 2))
+def _fields(bits: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers that stand at ``start`` in so many bits, highest first."""
+    out = np.zeros(len(start), "i8")
+    for k in range(int(width.max(initial=0))):
+        more = width > k
+        out[more] = out[more] << 1 | bits[start[more] + k]
     return out
 
 
-def s9_pack(values: list[int]) -> list[int]:
+def delta_unpack(code: bytes, n_values: int) -> np.ndarray:
+    """The first ``n_values`` values. For every place of the code it is found where a code that
+    begins there would end; the values' places follow from the first, and all are read at once."""
+    bits = np.unpackbits(np.frombuffer(code, "u1"), bitorder="little").astype("i8")
+    place = np.arange(len(bits))
+    one = np.minimum.accumulate(np.where(bits > 0, place, len(bits))[::-1])[::-1]
+    zeros = one - place
+    legal = (zeros < 7) & (one + zeros < len(bits))
+    size = np.zeros(len(bits), "i8")
+    size[legal] = _fields(bits, one[legal], zeros[legal] + 1)
+    after = (one + zeros + size).tolist()
+    at, starts = 0, []
+    for _ in range(n_values):
+        if at >= len(bits) or not legal[at]:
+            raise ValueError("the code ends before its values")
+        starts.append(at)
+        at = after[at]
+    start = np.array(starts, "i8")
+    width = size[start] - 1
+    return _fields(bits, one[start] + zeros[start] + 1, width) | np.left_shift(np.int64(1), width)
+
+
+def s9_pack(values: list[int] | np.ndarray) -> list[int]:
     """Simple-9 words as signed 32-bit integers. Each word takes the mode with most values
-    among those that hold the next ones; a short last word is filled with zeros."""
-    bits = [max(int(x).bit_length(), 1) for x in values]
-    if any(b > 28 for b in bits):
+    among those that hold the next ones; a short last word is filled with zeros. The mode that
+    a word beginning at any value would take is found for all values at once."""
+    values = np.asarray(values, "i8")
+    n, bits = len(values), np.maximum(_widths(values), 1)
+    if n and bits.max() > 28:
         raise ValueError("a value needs more than 28 bits")
-    out, at = [], 0
-    while at < len(values):
-        for mode, (count, width) in enumerate(zip(codes.S9_COUNTS, codes.S9_BITS, strict=True)):
-            if max(bits[at : at + count]) <= width:
-                break
-        word = mode << 28
-        for k, x in enumerate(values[at : at + count]):
-            word |= int(x) << (28 - width * (k + 1))
-        out.append(word - (1 << 32) if word >= 1 << 31 else word)
-        at += count
-    return out
+    mode = np.full(n, -1)
+    for k, (count, width) in reversed(list(enumerate(zip(codes.S9_COUNTS, codes.S9_BITS, strict=True)))):
+        wide = np.concatenate([[0], np.cumsum(bits > width)])
+        mode[wide[np.minimum(np.arange(n) + count, n)] == wide[:n]] = k
+    at, starts, step = 0, [], np.array(codes.S9_COUNTS)[mode].tolist()
+    while at < n:
+        starts.append(at)
+        at += step[at]
+    start = np.array(starts, "i8")
+    word, padded = mode[start].astype("i8") << 28 if n else start, np.concatenate([values, np.zeros(28, "i8")])
+    for k, (count, width) in enumerate(zip(codes.S9_COUNTS, codes.S9_BITS, strict=True)):
+        own = np.flatnonzero(mode[start] == k) if n else start
+        for j in range(count):
+            word[own] |= padded[start[own] + j] << (28 - width * (j + 1))
+    return np.where(word >= 1 << 31, word - (1 << 32), word).tolist()
 
 
 def _encode(values: DataFrame, schema: str, code) -> DataFrame:
@@ -130,17 +169,7 @@ def delta_encode(positions: DataFrame, n: int, form: str, segment: int = SEGMENT
 def s9_encode(positions: DataFrame, n: int, form: str, segment: int = SEGMENT) -> DataFrame:
     """``(ref_id, seg, nvals, words)``."""
     schema = "ref_id long, seg long, nvals long, words array<int>"
-    return _encode(coded_values(positions, n, form, False, segment), schema, lambda v: {"words": pa.array([s9_pack(v.tolist())], pa.list_(pa.field("element", pa.int32())))})
-
-
-@udtf(returnType="i bigint, value bigint")
-class DeltaValues:
-    """A bucket's code as rows ``(i, value)``."""
-
-    def eval(self, code: bytes, n_values: int) -> Iterator[tuple[int, int]]:
-        from pivotlake.operators.codecs import delta_unpack
-
-        yield from enumerate(delta_unpack(code, n_values))
+    return _encode(coded_values(positions, n, form, False, segment), schema, lambda v: {"words": pa.array([s9_pack(v)], pa.list_(pa.field("element", pa.int32())))})
 
 
 def _positions(values: DataFrame, n: int, form: str, bias: bool, segment: int) -> DataFrame:
@@ -154,7 +183,14 @@ def _positions(values: DataFrame, n: int, form: str, bias: bool, segment: int) -
 
 def delta_decode(buckets: DataFrame, n: int, form: str, segment: int = SEGMENT) -> DataFrame:
     ship(buckets.sparkSession)
-    rows = buckets.lateralJoin(DeltaValues(F.col("code").outer(), F.col("nvals").outer())).select("ref_id", "seg", "i", "value")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ref, seg, n_values, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                value = delta_unpack(code, n_values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n_values, ref)), pa.array(np.full(n_values, seg)), pa.array(np.arange(n_values)), pa.array(value)], ["ref_id", "seg", "i", "value"])
+
+    rows = buckets.select("ref_id", "seg", "nvals", "code").mapInArrow(decode, "ref_id long, seg long, i long, value long")
     return _positions(rows, n, form, True, segment)
 
 

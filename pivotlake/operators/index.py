@@ -3,6 +3,8 @@ one-row table of their measures."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from pivotlake.operators.vectors import VectorSet
 
 def build_index(vectors: VectorSet) -> DataFrame:
     """``(obj_id, perm, pos)``; one scan of the objects, no shuffle."""
-    return rank_arrays(vectors.objects, vectors.pivots)
+    return rank_arrays(vectors)
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -30,10 +32,11 @@ def parameters(vectors: VectorSet) -> DataFrame:
 
 
 def size_report(vectors: VectorSet, bits: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``(coding, bytes, mib)``: uncompressed sizes by formula; ``bits`` adds codings by
-    their measured bits, ``(bits)`` in one row."""
-    cells = parameters(vectors).select((F.col("n") * F.col("nn")).alias("cells"))
-    out = cells.select(F.lit("plain_32").alias("coding"), (4 * F.col("cells")).cast("double").alias("bytes")).union(cells.select(F.lit("plain_64"), (8 * F.col("cells")).cast("double")))
-    for name, total in (bits or {}).items():
-        out = out.union(total.select(F.lit(name), F.col("bits") / 8.0))
-    return out.withColumn("mib", F.col("bytes") / 1048576.0)
+    """``(coding, bytes, mib)``: uncompressed sizes by formula, and that of a permutation
+    table with as many bits a symbol as the largest needs; ``bits`` adds codings by their
+    measured bits, ``(bits)`` in one row."""
+    sizes = parameters(vectors).select((F.col("n") * F.col("nn")).alias("cells"), F.length(F.bin(F.col("n") - 1)).alias("width"))
+    forms = {"plain_32": 4 * F.col("cells"), "plain_64": 8 * F.col("cells"), "permutation": F.col("cells") * F.col("width") / 8.0}
+    out = [sizes.select(F.lit(name).alias("coding"), size.cast("double").alias("bytes")) for name, size in forms.items()]
+    out += [total.select(F.lit(name).alias("coding"), (F.col("bits") / 8.0).alias("bytes")) for name, total in (bits or {}).items()]
+    return reduce(DataFrame.union, out).withColumn("mib", F.col("bytes") / 1048576.0)

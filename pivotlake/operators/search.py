@@ -36,15 +36,14 @@ def smallest(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def exact_topk(vectors: VectorSet, k: int = 100, metric: str = "l2") -> DataFrame:
     """Sequential scan of the objects against all queries."""
-    found = pairwise(vectors.objects, vectors.queries, "v", "qv", metric, "dist")
+    found = pairwise(vectors.objects, vectors.queries, vectors.measures["queries_numbers"], "v", "qv", metric, "dist")
     return smallest(found, k, "dist")
 
 
 def footrule_scores(vectors: VectorSet) -> DataFrame:
     """``(q_id, obj_id, score)`` in the long form."""
-    seen = rank_long(vectors.objects, vectors.pivots)
-    asked = rank_long(vectors.queries, vectors.pivots, "q_id", "qv").withColumnRenamed("pos", "qpos")
-    size = vectors.queries.count() * vectors.pivots.count()
+    seen, asked = rank_long(vectors), rank_long(vectors, "queries").withColumnRenamed("pos", "qpos")
+    size = vectors.measures["queries"] * vectors.measures["pivots"]
     asked = F.broadcast(asked) if size <= BULK_NUMBERS else asked
     return seen.join(asked, "ref_id").groupBy("q_id", "obj_id").agg(F.sum(F.abs(F.col("pos") - F.col("qpos"))).alias("score"))
 
@@ -53,30 +52,33 @@ def footrule_topk(vectors: VectorSet, k: int = 10) -> DataFrame:
     return smallest(footrule_scores(vectors), k)
 
 
+def ranked_queries(vectors: VectorSet) -> tuple[DataFrame, int]:
+    """``(q_id, qpos)``, and the numbers that it holds."""
+    return rank_arrays(vectors, "queries").select("q_id", F.col("pos").alias("qpos")), vectors.measures["queries"] * vectors.measures["pivots"]
+
+
 def array_scores(vectors: VectorSet) -> DataFrame:
-    asked = rank_arrays(vectors.queries, vectors.pivots, "q_id", "qv").select("q_id", F.col("pos").alias("qpos"))
-    return score_index(rank_arrays(vectors.objects, vectors.pivots), asked)
+    return score_index(rank_arrays(vectors), *ranked_queries(vectors))
 
 
-def score_index(index: DataFrame, asked: DataFrame) -> DataFrame:
+def score_index(index: DataFrame, asked: DataFrame, numbers: int) -> DataFrame:
     """Scores from a stored index with position arrays."""
-    return index.select("obj_id", "pos").crossJoin(held(asked, "qpos")).select("q_id", "obj_id", distances.footrule("pos", "qpos").alias("score"))
+    return index.select("obj_id", "pos").crossJoin(held(asked, numbers)).select("q_id", "obj_id", distances.footrule("pos", "qpos").alias("score"))
 
 
 def footrule_topk_array(vectors: VectorSet, k: int = 10) -> DataFrame:
     return smallest(array_scores(vectors), k)
 
 
-def score_permutations(index: DataFrame, asked: DataFrame) -> DataFrame:
+def score_permutations(index: DataFrame, asked: DataFrame, numbers: int) -> DataFrame:
     """Scores from permutations stored by rank: each symbol looks its query rank up."""
     shift = F.transform("perm", lambda r, i: F.abs(F.element_at("qpos", r + 1) - i).cast("long"))
     total = F.aggregate(shift, F.lit(0).cast("long"), lambda a, x: a + x)
-    return index.select("obj_id", "perm").crossJoin(held(asked, "qpos")).select("q_id", "obj_id", total.alias("score"))
+    return index.select("obj_id", "perm").crossJoin(held(asked, numbers)).select("q_id", "obj_id", total.alias("score"))
 
 
 def permutation_topk(vectors: VectorSet, k: int = 10) -> DataFrame:
-    asked = rank_arrays(vectors.queries, vectors.pivots, "q_id", "qv").select("q_id", F.col("pos").alias("qpos"))
-    return smallest(score_permutations(rank_arrays(vectors.objects, vectors.pivots), asked), k)
+    return smallest(score_permutations(rank_arrays(vectors), *ranked_queries(vectors)), k)
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -96,36 +98,64 @@ def positions(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+class Best:
+    """The k smallest (score, id) of many queries, from blocks of scores."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.edge = k, np.full(n, np.iinfo("i8").max)
+        self.q, self.s, self.i = (np.empty(0, "i8") for _ in range(3))
+        self.held = 0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores[row, query]``; what is over a query's k-th smallest so far goes at once."""
+        row, q = np.nonzero(scores <= self.edge)
+        self.q, self.s, self.i = np.r_[self.q, q], np.r_[self.s, scores[row, q]], np.r_[self.i, ids[row]]
+        if len(self.q) > 4 * max(self.held, 4096):
+            self.settle()
+
+    def settle(self) -> None:
+        order = np.lexsort((self.i, self.s, self.q))
+        q = self.q[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, "i8")
+        size = np.diff(np.r_[start, len(q)])
+        keep = np.arange(len(q)) - np.repeat(start, size) < self.k
+        full = size >= self.k
+        self.edge[q[start[full]]] = self.s[order][start[full] + self.k - 1]
+        self.q, self.s, self.i = q[keep], self.s[order][keep], self.i[order][keep]
+        self.held = len(self.q)
+
+
 def footrule_topk_bulk(vectors: VectorSet, k: int = 10) -> DataFrame:
     """Queries are collected in chunks (the stated query set, bounded by ``BULK_NUMBERS``);
-    objects are scanned once per chunk and never shuffled."""
+    objects are scanned once per chunk and never shuffled. Pivots over that bound are left to
+    the array form."""
     spark = vectors.objects.sparkSession
+    if vectors.measures["pivots_numbers"] > BULK_NUMBERS:
+        return footrule_topk_array(vectors, k)
     ship(spark)
     pivots = np.array([r["rv"] for r in vectors.pivots.orderBy("ref_id").select("rv").collect()])
-    n_queries = vectors.queries.count()
-    chunk = max(1, BULK_NUMBERS // max(len(pivots), 1))
+    parts = max(1, -(-vectors.measures["queries"] * max(len(pivots), 1) // BULK_NUMBERS))
     out = None
-    for low in range(0, max(n_queries, 1), chunk):
-        asked = vectors.queries.where((F.col("q_id") >= low) & (F.col("q_id") < low + chunk)).orderBy("q_id").collect()
+    for part in range(parts):
+        own = vectors.queries if parts == 1 else vectors.queries.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == part)
+        asked = own.orderBy("q_id").collect()
         qids = np.array([r["q_id"] for r in asked], "i8")
         qpos = positions(np.array([r["qv"] for r in asked]).reshape(len(asked), -1), pivots) if asked and len(pivots) else np.zeros((len(asked), len(pivots)), "i4")
         shared = spark.sparkContext.broadcast((qids, qpos, pivots))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, qpos, pivots = shared.value
-            best = [(np.empty(0, "i8"), np.empty(0, "i8"))] * len(qids)
+            best, small = Best(len(qids), k), "i2" if len(pivots) < 180 else "i8"  # sums stay below 2^15
+            qpos = qpos.astype(small)
             for b in batches:
-                for at in range(0, b.num_rows, 2048):
-                    ids, pos = b.column(0)[at : at + 2048].to_numpy(), positions(_rows(b.column(1)[at : at + 2048]), pivots)
-                    for q in range(len(qids)):
-                        score = np.abs(pos - qpos[q]).sum(1, dtype="i8")
-                        # no more than k of a batch can stay; ties at the edge all go on
-                        near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else slice(None)
-                        s, i = np.concatenate([best[q][0], score[near]]), np.concatenate([best[q][1], ids[near]])
-                        keep = np.lexsort((i, s))[:k]
-                        best[q] = s[keep], i[keep]
-            for q, (s, i) in zip(qids, best, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q)), pa.array(i), pa.array(s)], ["q_id", "obj_id", "score"])
+                for at in range(0, b.num_rows, 512):
+                    ids, pos = b.column(0)[at : at + 512].to_numpy(), positions(_rows(b.column(1)[at : at + 512]), pivots).astype(small)
+                    scores = np.zeros((len(ids), len(qids)), small)
+                    for j in range(len(pivots)):
+                        scores += np.abs(pos[:, j, None] - qpos[None, :, j])
+                    best.add(ids, scores.astype("i8", copy=False))
+            best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.i), pa.array(best.s)], ["q_id", "obj_id", "score"])
 
         found = smallest(vectors.objects.select("obj_id", "v").mapInArrow(scan, "q_id long, obj_id long, score long"), k)
         out = found if out is None else out.union(found)
@@ -134,16 +164,32 @@ def footrule_topk_bulk(vectors: VectorSet, k: int = 10) -> DataFrame:
 
 def topk_late_ties(scored: DataFrame, k: int = 10) -> DataFrame:
     """The other tie rule: with d the k-th smallest score, all objects under d, then, of the
-    first k objects (by id) with scores up to d, the largest ids at d. Each window keeps at
-    most k rows a query before the shuffle."""
-    first = smallest(scored, k)
-    edge = first.groupBy("q_id").agg(F.max("score").alias("edge"))
-    under = first.join(edge, "q_id").where("score < edge").select("q_id", "obj_id", "score")
-    n_under = first.join(edge, "q_id").groupBy("q_id", "edge").agg(F.count(F.when(F.col("score") < F.col("edge"), 1)).alias("n_under"))
-    by_id, late = Window.partitionBy("q_id").orderBy("obj_id"), Window.partitionBy("q_id").orderBy(F.desc("obj_id"))
-    early = scored.join(F.broadcast(n_under), "q_id").where("score <= edge").withColumn("rn", F.row_number().over(by_id)).where(F.col("rn") <= k)
-    ties = early.where("score = edge").withColumn("rl", F.row_number().over(late)).where(F.col("rl") <= k - F.col("n_under")).select("q_id", "obj_id", "score")
-    return smallest(under.union(ties), k)
+    first k objects (by id) with scores up to d, the largest ids at d. Of each score only the
+    first k ids matter, and no more leave a task; the rest goes in windows of one dealing by
+    query, so pairs are scored once."""
+    own = lambda *keys: Window.partitionBy("q_id", *keys)
+    few = scored.withColumn("l", F.row_number().over(own("score").orderBy("obj_id"))).where(F.col("l") <= k)
+    few = few.withColumn("n", F.row_number().over(own().orderBy("score", "obj_id")))
+    few = few.withColumn("edge", F.max(F.when(F.col("n") <= k, F.col("score"))).over(own())).where("score <= edge")
+    few = few.withColumn("under", F.count(F.when(F.col("score") < F.col("edge"), 1)).over(own())).withColumn("rn", F.row_number().over(own().orderBy("obj_id")))
+    tie = F.col("score") == F.col("edge")
+    few = few.where(~tie | (F.col("rn") <= k)).withColumn("tie", tie).withColumn("rl", F.row_number().over(own("tie").orderBy(F.desc("obj_id"))))
+    return smallest(few.where(~F.col("tie") | (F.col("rl") <= k - F.col("under"))).select("q_id", "obj_id", "score"), k)
+
+
+def lookup_distance(answers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(q_id, dist, obj_id)``: the first object of the query's answers at a wanted distance
+    ``(q_id, dist)``, else -1."""
+    at = answers.groupBy("q_id", "dist").agg(F.min_by("obj_id", "rk").alias("obj_id"))
+    return wanted.join(at, ["q_id", "dist"], "left").select("q_id", "dist", F.coalesce("obj_id", F.lit(-1).cast("long")).alias("obj_id"))
+
+
+def remove_distance(answers: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """The answers without the first object at an unwanted distance ``(q_id, dist)``; ranks
+    close up."""
+    gone = lookup_distance(answers, unwanted.distinct()).select("q_id", "obj_id")
+    order = Window.partitionBy("q_id").orderBy("rk")
+    return answers.join(gone, ["q_id", "obj_id"], "left_anti").withColumn("rk", F.row_number().over(order).cast("long")).select("q_id", "rk", "obj_id", "dist")
 
 
 def padded(answers: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -1,13 +1,15 @@
 """Vector tables: objects ``(obj_id, v)``, pivots ``(ref_id, rv)``, queries ``(q_id, qv)``.
 
-Ids are dense, from 0. Pivots and queries meet every object, so they are the sides to hold:
-they are broadcast while their measured size allows, and joined without a hint beyond.
+Object ids are dense, from 0. Pivots and queries meet every object, so they are the sides to
+hold: they are broadcast while their measured size allows, and joined without a hint beyond.
+They are measured once for a set.
 Vectors that are null give null distances; they rank last.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,21 @@ class VectorSet:
     pivots: DataFrame
     queries: DataFrame
 
+    @cached_property
+    def measures(self) -> dict[str, int]:
+        """Rows of pivots and queries, and the numbers in their vectors, by one job."""
+        size = lambda d, kind, v: d.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.coalesce(F.sum(F.size(v)), F.lit(0)).alias("numbers"))
+        rows = size(self.pivots, "pivots", "rv").union(size(self.queries, "queries", "qv")).collect()
+        return {r["kind"]: r["n"] for r in rows} | {f"{r['kind']}_numbers": r["numbers"] for r in rows}
 
-def split_embeddings(spark: SparkSession, sf_dir: str, n_queries: int = 5, n_pivots: int = 16) -> VectorSet:
-    """The embeddings table by id: first queries, then pivots, the rest objects; each part
-    gets ids from 0. The id bounds reach the scan."""
+
+def split_embeddings(spark: SparkSession, sf_dir: str, n_pivots: int = 16, every: int = 100) -> VectorSet:
+    """The embeddings table: all rows are objects, those of an id divisible by ``every`` are
+    the queries, the first ``n_pivots`` the pivots. The bounds reach the scan."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = F.col("embedding").cast("array<double>")
-    part = lambda low, high, key, name: e.where((F.col("vec_id") >= low) & (F.lit(True) if high is None else F.col("vec_id") < high)).select((F.col("vec_id") - low).alias(key), v.alias(name))
-    return VectorSet(spread(part(n_queries + n_pivots, None, "obj_id", "v")), part(n_queries, n_queries + n_pivots, "ref_id", "rv"), part(0, n_queries, "q_id", "qv"))
+    part = lambda rows, key, name: rows.select(F.col("vec_id").alias(key), v.alias(name))
+    return VectorSet(spread(part(e, "obj_id", "v")), part(e.where(F.col("vec_id") < n_pivots), "ref_id", "rv"), part(e.where(F.col("vec_id") % every == 0), "q_id", "qv"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -54,13 +63,13 @@ def quantise(v: str) -> F.Column:
     return F.transform(v, lambda x: F.floor((x + 1.0) * 127.5).cast("int"))
 
 
-def held(side: DataFrame, vector: str) -> DataFrame:
+def held(side: DataFrame, numbers: int) -> DataFrame:
     """``side`` with a broadcast hint if its measured size is in bounds, else as it is."""
-    size = side.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
-    return F.broadcast(side) if size <= BROADCAST_NUMBERS else side
+    return F.broadcast(side) if numbers <= BROADCAST_NUMBERS else side
 
 
-def pairwise(rows: DataFrame, pivots: DataFrame, vector: str = "v", pivot: str = "rv", metric: str | None = None, name: str = "d2") -> DataFrame:
-    """Every row with every pivot and their distance: squared Euclidean, or a named metric."""
+def pairwise(rows: DataFrame, pivots: DataFrame, numbers: int, vector: str = "v", pivot: str = "rv", metric: str | None = None, name: str = "d2") -> DataFrame:
+    """Every row with every pivot and their distance: squared Euclidean, or a named metric.
+    ``numbers`` tells how many the pivots' vectors hold."""
     d = distances.METRICS[metric](vector, pivot) if metric else distances.squared_l2(vector, pivot)
-    return rows.crossJoin(held(pivots, pivot)).withColumn(name, d).drop(vector, pivot)
+    return rows.crossJoin(held(pivots, numbers)).withColumn(name, d).drop(vector, pivot)

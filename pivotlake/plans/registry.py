@@ -1,27 +1,28 @@
 """Every query of the engine over the driver tables, with the same rows as DuckDB SQL.
 
-Arrays are returned as joined strings, distances rounded to nine digits. Queries take the
-embeddings ``vec_id < 5``, pivots the next 16, objects the rest.
+Arrays are returned as joined strings, distances rounded to nine digits. All embeddings are
+objects; the queries are those of an id divisible by 100, the pivots, a parameter of every
+index, the first 16.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pivotlake.functions import codes
+from pivotlake.functions.shared import fresh_path
 from pivotlake.operators import codecs, index, permutations, search, vectors
 from pivotlake.operators.vectors import VectorSet, split_embeddings
 from pivotlake.sources import sections
 
-N_QUERIES, N_PIVOTS, K, K_EXACT = 5, 16, 10, 100
+N_PIVOTS, EVERY, K, K_EXACT = 16, 100, 10, 100
 
 
 def _set(spark: SparkSession, sf_dir: str) -> VectorSet:
-    return split_embeddings(spark, sf_dir, N_QUERIES, N_PIVOTS)
+    return split_embeddings(spark, sf_dir, N_PIVOTS, EVERY)
 
 
 def _integers(spark: SparkSession, sf_dir: str) -> VectorSet:
@@ -33,8 +34,8 @@ def _points(spark: SparkSession, sf_dir: str) -> VectorSet:
     """Orders as integer points with many ties; ids are dense order keys."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     v = F.array(F.floor(F.col("o_totalprice") / 1000), F.dayofyear("o_orderdate"), F.col("o_custkey") % 256).cast("array<double>")
-    cut = lambda low, high, key, name: o.where((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < high)).select((F.col("o_orderkey") - low).alias(key), v.alias(name))
-    return VectorSet(vectors.spread(cut(N_QUERIES + N_PIVOTS, 2**62, "obj_id", "v")), cut(N_QUERIES, N_QUERIES + N_PIVOTS, "ref_id", "rv"), cut(0, N_QUERIES, "q_id", "qv"))
+    part = lambda rows, key, name: rows.select(F.col("o_orderkey").alias(key), v.alias(name))
+    return VectorSet(vectors.spread(part(o, "obj_id", "v")), part(o.where(F.col("o_orderkey") < N_PIVOTS), "ref_id", "rv"), part(o.where(F.col("o_orderkey") % EVERY == 0), "q_id", "qv"))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +60,11 @@ def vec_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairwise_sqdist(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _set(spark, sf_dir)
-    return _rounded(vectors.pairwise(s.objects, s.pivots), "d2")
+    return _rounded(vectors.pairwise(s.objects, s.pivots, s.measures["pivots_numbers"]), "d2")
 
 
 def ref_rank_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _set(spark, sf_dir)
-    return permutations.rank_long(s.objects, s.pivots)
+    return permutations.rank_long(_set(spark, sf_dir))
 
 
 def ref_order_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,7 @@ def footrule_topk_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footrule_topk_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _set(spark, sf_dir)
-    few = VectorSet(vectors.select_prefix(s.objects, "obj_id", 7), s.pivots, s.queries)
-    return search.padded(search.footrule_topk_array(few, K), s.queries, K).select("q_id", "rk", "obj_id")
+    return search.padded(search.footrule_topk_array(s, K), s.queries, K).select("q_id", "rk", "obj_id")
 
 
 def perm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +142,40 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recall_at_k(footrule_topk_array(spark, sf_dir), search.exact_topk(_set(spark, sf_dir), K_EXACT, "l2"), K)
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Exact answers, and per query a distance that is among them and one that is not."""
+    found = exact_topk_int(spark, sf_dir)
+    return found, found.where("rk = 5").select("q_id", "dist").union(found.where("rk = 1").select("q_id", F.lit(-1.0).cast("float")))
+
+
+def answer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lookup_distance(*_answers(spark, sf_dir))
+
+
+def answer_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.remove_distance(*_answers(spark, sf_dir))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, written to the shared folder and read again."""
+    path = fresh_path(spark, "index")
+    index.write_index(index.build_index(_set(spark, sf_dir)), path)
+    return index.read_index(spark, path)
+
+
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.smallest(search.score_index(_stored(spark, sf_dir), *search.ranked_queries(_set(spark, sf_dir))), K)
+
+
+def stored_perm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.smallest(search.score_permutations(_stored(spark, sf_dir), *search.ranked_queries(_set(spark, sf_dir))), K)
+
+
+def perm_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random access to the stored permutations: the pivots of rank 0 and of the last rank."""
+    return _stored(spark, sf_dir).select("obj_id", F.element_at("perm", 1).cast("long").alias("first"), F.element_at("perm", -1).cast("long").alias("last"))
+
+
 def gap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.gap_values(_positions(spark, sf_dir), N_PIVOTS).select("ref_id", "obj_id", "gap", "first")
 
@@ -153,7 +186,7 @@ def gap_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return spark.range(1, 5000).select(F.col("id").alias("x")).select("x", codes.bit_length(x).alias("bits"), codes.gamma_length(x).alias("gamma"), codes.delta_length(x).alias("delta"), codes.delta_bits(x).alias("delta_code"))
+    return spark.range(1, 5000).select(F.col("id").alias("x")).select("x", codes.bit_length(x).alias("bits"), codes.gamma_length(x).alias("gamma"), codes.gamma_bits(x).alias("gamma_code"), codes.delta_length(x).alias("delta"), codes.delta_bits(x).alias("delta_code"))
 
 
 def _named_total(sizes: DataFrame) -> DataFrame:
@@ -187,8 +220,7 @@ def _coded_topk(coder: str, form: str) -> Callable[[SparkSession, str], DataFram
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = _set(spark, sf_dir)
-        asked = permutations.rank_arrays(s.queries, s.pivots, "q_id", "qv").select("q_id", F.col("pos").alias("qpos"))
-        scored = search.score_index(codecs.collect_positions(_roundtrip(coder, form)(spark, sf_dir)), asked)
+        scored = search.score_index(codecs.collect_positions(_roundtrip(coder, form)(spark, sf_dir)), *search.ranked_queries(s))
         return search.topk_late_ties(scored, K) if coder == "s9" else search.smallest(scored, K)
 
     return query
@@ -201,8 +233,17 @@ def _s9_words(form: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def s9_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every bucket the last position and what is read behind it."""
+    buckets = codecs.s9_encode(_positions(spark, sf_dir), N_PIVOTS, "pos")
+    value = lambda i: codes.s9_value(F.col("words"), F.col("nvals"), i)
+    last = buckets.groupBy("ref_id").agg(F.max_by(F.struct("words", "nvals"), "seg").alias("b")).select("ref_id", "b.*")
+    return last.select("ref_id", value(F.col("nvals") - 1).alias("last"), value(F.col("nvals")).alias("behind"))
+
+
 def index_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = {f"delta_{form}": _bucket_size(form)(spark, sf_dir).where("ref_id = -1").select("bits") for form in ("gap", "pos")}
+    total |= {f"s9_{form}": _s9_words(form)(spark, sf_dir).where("ref_id = -1").select((32 * F.col("words")).alias("bits")) for form in ("gap", "pos")}
     return index.size_report(_set(spark, sf_dir), total)
 
 
@@ -210,8 +251,13 @@ def index_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.parameters(_set(spark, sf_dir))
 
 
-def _sections(layout: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Writes the embeddings as sectioned text into the shared folder, reads it back."""
+#: A selection of every section: objects, pivots, queries.
+SELECTED = {"n_objects": 100, "n_refs": 8, "n_queries": 2}
+
+
+def _sections(layout: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """Writes the embeddings as sectioned text into the shared folder, in files dealt by ranges
+    and named in order, and reads it back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = _set(spark, sf_dir)
@@ -223,10 +269,9 @@ def _sections(layout: str) -> Callable[[SparkSession, str], DataFrame]:
         for k, name in enumerate(order):
             d, key, v = parts[name]
             lines = lines.union(d.select(F.lit(k), F.col(key), _joined(v)))
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        path = f"{where.rstrip('/')}/sections-{layout}"
-        lines.orderBy("part", "id").select("line").coalesce(1).write.mode("overwrite").text(path)
-        back = sections.read_sections(spark, path, layout)
+        path = fresh_path(spark, f"sections-{layout}")
+        lines.orderBy("part", "id").select("line").write.text(path)
+        back = sections.read_sections(spark, path, layout, **options)
         sums = lambda d, kind, key, v: d.select(F.lit(kind).alias("part"), F.col(key).alias("id"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
         return sums(back.queries, "query", "q_id", "qv").union(sums(back.pivots, "pivot", "ref_id", "rv")).union(sums(back.objects, "object", "obj_id", "v"))
 
@@ -234,7 +279,7 @@ def _sections(layout: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, gap_values, gap_restore, code_lengths, delta_bits, index_size_report, index_parameters)
+    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, answer_lookup, answer_remove, stored_index_topk, stored_perm_topk, perm_access, gap_values, gap_restore, code_lengths, delta_bits, s9_past_end, index_size_report, index_parameters)
     out = {f.__name__: f for f in plain}
     for form in ("gap", "pos"):
         out[f"delta_{form}_size"] = _bucket_size(form)
@@ -242,16 +287,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for coder in ("delta", "s9"):
             out[f"{coder}_roundtrip_{form}"] = _roundtrip(coder, form)
             out[f"{coder}_topk_{form}"] = _coded_topk(coder, form)
-    return out | {"read_sections_refs_first": _sections("refs_first"), "read_sections_objects_first": _sections("objects_first")}
+    return out | {
+        "read_sections_refs_first": _sections("refs_first"),
+        "read_sections_objects_first": _sections("objects_first"),
+        "read_sections_selected": _sections("objects_first", **SELECTED),
+        "read_sections_shifted": _sections("objects_first", strict_sections=False, **SELECTED),
+    }
 
 
 # --- the same in SQL -------------------------------------------------------------------
 
 _BASE = f"""
 e as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings),
-q as (select vec_id as q_id, v as qv from e where vec_id < {N_QUERIES}),
-r as (select vec_id - {N_QUERIES} as ref_id, v as rv from e where vec_id >= {N_QUERIES} and vec_id < {N_QUERIES + N_PIVOTS}),
-o as (select vec_id - {N_QUERIES + N_PIVOTS} as obj_id, v from e where vec_id >= {N_QUERIES + N_PIVOTS})"""
+q as (select vec_id as q_id, v as qv from e where vec_id % {EVERY} = 0),
+r as (select vec_id as ref_id, v as rv from e where vec_id < {N_PIVOTS}),
+o as (select vec_id as obj_id, v from e)"""
 _D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -276,8 +326,20 @@ _DELTA = "(2 * length(bin(length(bin({0})))) - 1 + length(bin({0})) - 1)"
 _DELTA_CODE = "repeat('0', length(bin(length(bin({0})))) - 1) || bin(length(bin({0}))) || substring(bin({0}), 2)"
 _POINTS = f"""
 e as (select o_orderkey as k, [floor(o_totalprice / 1000)::DOUBLE, dayofyear(o_orderdate)::DOUBLE, (o_custkey % 256)::DOUBLE] as v from orders),
-q as (select k as q_id, v as qv from e where k < {N_QUERIES}), r as (select k - {N_QUERIES} as ref_id, v as rv from e where k >= {N_QUERIES} and k < {N_QUERIES + N_PIVOTS}),
-o as (select k - {N_QUERIES + N_PIVOTS} as obj_id, v from e where k >= {N_QUERIES + N_PIVOTS})"""
+q as (select k as q_id, v as qv from e where k % {EVERY} = 0), r as (select k as ref_id, v as rv from e where k < {N_PIVOTS}),
+o as (select k as obj_id, v from e)"""
+_INTEGERS = _BASE.replace("list_transform(embedding, lambda x: x::DOUBLE)", "list_transform(embedding, lambda x: floor((x::DOUBLE + 1.0) * 127.5)::INTEGER)")
+_INT_TOP = f"with {_INTEGERS}, t as ({_EXACT.format(out='dist', dist=f'sqrt({_D2.format('v', 'qv')})::FLOAT', k=K_EXACT)})"
+_ASKED = "w as (select q_id, dist from t where rk = 5 union all select q_id, (-1)::FLOAT from t where rk = 1), f as (select w.q_id, w.dist, arg_min(t.obj_id, t.rk) as obj_id from w left join t on t.q_id = w.q_id and t.dist = w.dist group by w.q_id, w.dist)"
+#: How many of the next values each word takes: the most that are all narrow enough.
+_S9_STEP = "case " + " ".join(f"when list_max(v[place:place + {n - 1}]) < {1 << bits} then {n}" for n, bits in zip(codes.S9_COUNTS, codes.S9_BITS, strict=True)) + " end"
+
+
+def _s9_sql(form: str) -> str:
+    """Words per bucket, by taking one word after the other."""
+    values, value = (_GAPS, "gap") if form == "gap" else (_POS, "pos")
+    rows = "g" if form == "gap" else "p"
+    return f"{values}, l as (select ref_id, list({value} order by obj_id) as v from {rows} group by ref_id), s9(ref_id, place, words) as (select ref_id, 1::BIGINT, 0::BIGINT from l union all select s9.ref_id, place + {_S9_STEP}, words + 1 from s9 join l using (ref_id) where place <= len(v)), n as (select ref_id, max(words) as words from s9 group by ref_id)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -289,10 +351,12 @@ def oracle_sql() -> dict[str, str]:
     }
     size = {form: f"with {sql} select coalesce(ref_id, -1) as ref_id, sum(bits)::BIGINT as bits from b group by rollup(ref_id)" for form, sql in sizes.items()}
     total = lambda form: f"(select sum({_DELTA.format('(gap + first::BIGINT)' if form == 'gap' else '(pos + 1)')})::DOUBLE / 8 from {'g' if form == 'gap' else 'p'})"
-    quantised = _BASE.replace("list_transform(embedding, lambda x: x::DOUBLE)", "list_transform(embedding, lambda x: floor((x::DOUBLE + 1.0) * 127.5)::INTEGER)")
+    s9 = lambda form: f"(select 4.0::DOUBLE * sum(words) from (with recursive {_s9_sql(form)} select words from n))"
     dim = "len(v)::BIGINT"
     sums = "round(list_sum({0}), 9)"
-    sections_sql = f"with {_BASE} select 'query' as part, q_id as id, {sums.format('qv')} as total from q union all select 'pivot', ref_id, {sums.format('rv')} from r union all select 'object', obj_id, {sums.format('v')} from o"
+    sections_sql = f"with {_BASE} select 'query' as part, q_id // {EVERY} as id, {sums.format('qv')} as total from q union all select 'pivot', ref_id, {sums.format('rv')} from r union all select 'object', obj_id, {sums.format('v')} from o"
+    n, m, k = SELECTED.values()
+    shifted = f"with {_BASE} select case when vec_id < {n} then 'object' when vec_id < {n + m} then 'pivot' else 'query' end as part, vec_id - case when vec_id < {n} then 0 when vec_id < {n + m} then {n} else {n + m} end as id, {sums.format('v')} as total from e where vec_id < {n + m + k}"
     out = {
         "vec_split": f"with {_BASE} select 'query' as part, q_id as id, len(qv)::BIGINT as dim, qv[1] as x0 from q union all select 'pivot', ref_id, len(rv)::BIGINT, rv[1] from r union all select 'object', obj_id, {dim}, v[1] from o",
         "pairwise_sqdist": f"with {_BASE} select obj_id, ref_id, round({_D2.format('v', 'rv')}, 9) as d2 from o, r",
@@ -305,23 +369,30 @@ def oracle_sql() -> dict[str, str]:
         "footrule_scores": f"with {_SCORE} select q_id, obj_id, score from sc",
         "footrule_topk_points": f"with {_SCORE.replace(_BASE, _POINTS)} {_TOP}",
         "footrule_topk_late": late,
-        "footrule_topk_padded": f"with {_SCORE}, a as (select q_id, obj_id, score, row_number() over (partition by q_id order by score, obj_id)::BIGINT as rk from sc where obj_id < 7) select q.q_id, k.rk, coalesce(a.obj_id, 0) as obj_id from q cross join (select unnest(range(1, {K} + 1))::BIGINT as rk) k left join a on a.q_id = q.q_id and a.rk = k.rk",
+        "footrule_topk_padded": f"with {_SCORE}, a as (select q_id, obj_id, score, row_number() over (partition by q_id order by score, obj_id)::BIGINT as rk from sc) select q.q_id, k.rk, coalesce(a.obj_id, 0) as obj_id from q cross join (select unnest(range(1, {K} + 1))::BIGINT as rk) k left join a on a.q_id = q.q_id and a.rk = k.rk",
         "exact_topk_l2": f"with {_BASE} " + _EXACT.format(out="round(dist, 9)", dist=f"sqrt({_D2.format('v', 'qv')})", k=K_EXACT),
         "exact_topk_l1": f"with {_BASE} " + _EXACT.format(out="round(dist, 9)", dist="list_sum(list_transform(list_zip(v, qv), lambda z: abs(z[1] - z[2])))", k=K_EXACT),
-        "exact_topk_int": f"with {quantised} " + _EXACT.format(out="dist", dist=f"sqrt({_D2.format('v', 'qv')})::FLOAT", k=K_EXACT),
+        "exact_topk_int": f"{_INT_TOP} select * from t",
+        "answer_lookup": f"{_INT_TOP}, {_ASKED} select q_id, dist, coalesce(obj_id, -1)::BIGINT as obj_id from f",
+        "answer_remove": f"{_INT_TOP}, {_ASKED} select t.q_id, row_number() over (partition by t.q_id order by t.rk)::BIGINT as rk, t.obj_id, t.dist from t left join f on f.q_id = t.q_id and f.obj_id = t.obj_id where f.obj_id is null",
+        "perm_access": f"with {_POS} select obj_id, arg_min(ref_id, pos) as first, arg_max(ref_id, pos) as last from p group by obj_id",
         "answer_lines": f"with {_SCORE}, t as ({_TOP}) select q_id, string_agg(obj_id::VARCHAR || ' ', '' order by rk) as line from t group by q_id",
         "recall_at_k": f"with {_SCORE}, t as ({_TOP}), x as ({_EXACT.format(out='dist', dist='sqrt(' + _D2.format('v', 'qv') + ')', k=K)}) select q_id, count(x.obj_id)::BIGINT as hits, count(x.obj_id) / {K}.0::DOUBLE as recall from t left join x using (q_id, obj_id) group by q_id",
         "gap_values": f"with {_GAPS} select ref_id, obj_id, gap, first from g",
         "gap_restore": positions,
-        "code_lengths": f"select x, {_BITS.format('x')}::BIGINT as bits, (2 * {_BITS.format('x')} - 1)::BIGINT as gamma, {_DELTA.format('x')}::BIGINT as delta, {_DELTA_CODE.format('x')} as delta_code from (select unnest(range(1, 5000))::BIGINT as x)",
+        "code_lengths": f"select x, {_BITS.format('x')}::BIGINT as bits, (2 * {_BITS.format('x')} - 1)::BIGINT as gamma, repeat('0', {_BITS.format('x')} - 1) || bin(x) as gamma_code, {_DELTA.format('x')}::BIGINT as delta, {_DELTA_CODE.format('x')} as delta_code from (select unnest(range(1, 5000))::BIGINT as x)",
         "delta_bits": f"with {_POS} select ref_id, obj_id, {_DELTA_CODE.format('(pos + 1)')} as code from p",
+        "s9_past_end": f"with {_POS} select ref_id, arg_max(pos, obj_id) as last, (-1)::BIGINT as behind from p group by ref_id",
         "delta_gap_size": size["gap"],
         "delta_pos_size": size["pos"],
-        "index_size_report": f"with {_GAPS}, s(coding, bytes) as (select 'plain_32', (4 * count(*))::DOUBLE from p union all select 'plain_64', (8 * count(*))::DOUBLE from p union all select 'delta_gap', {total('gap')} union all select 'delta_pos', {total('pos')}) select coding, bytes, bytes / 1048576.0::DOUBLE as mib from s",
+        "index_size_report": f"with {_GAPS}, s(coding, bytes) as (select 'plain_32', (4 * count(*))::DOUBLE from p union all select 'plain_64', (8 * count(*))::DOUBLE from p union all select 'permutation', count(*) * length(bin({N_PIVOTS} - 1)) / 8.0::DOUBLE from p union all select 's9_gap', {s9('gap')} union all select 's9_pos', {s9('pos')} union all select 'delta_gap', {total('gap')} union all select 'delta_pos', {total('pos')}) select coding, bytes, bytes / 1048576.0::DOUBLE as mib from s",
         "index_parameters": f"with {_BASE} select (select count(*) from r)::BIGINT as n, (select count(*) from o)::BIGINT as nn, (select max(len(rv)) from r)::BIGINT as dim, (select count(*) from q)::BIGINT as num_q",
         "read_sections_refs_first": sections_sql,
         "read_sections_objects_first": sections_sql,
+        "read_sections_selected": f"select * from ({sections_sql}) where id < case part when 'object' then {n} when 'pivot' then {m} else {k} end",
+        "read_sections_shifted": shifted,
     }
-    out |= dict.fromkeys(("footrule_topk", "footrule_topk_array", "footrule_topk_bulk", "perm_search", "delta_topk_gap", "delta_topk_pos"), top)
+    out |= dict.fromkeys(("footrule_topk", "footrule_topk_array", "footrule_topk_bulk", "perm_search", "stored_index_topk", "stored_perm_topk", "delta_topk_gap", "delta_topk_pos"), top)
+    out |= {f"s9_words_{form}": f"with recursive {_s9_sql(form)} select coalesce(ref_id, -1) as ref_id, sum(words)::BIGINT as words from n group by rollup(ref_id)" for form in ("gap", "pos")}
     out |= dict.fromkeys(("s9_topk_gap", "s9_topk_pos"), late)
     return out | dict.fromkeys(("delta_roundtrip_gap", "delta_roundtrip_pos", "s9_roundtrip_gap", "s9_roundtrip_pos"), positions)

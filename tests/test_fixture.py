@@ -68,7 +68,7 @@ def test_selections(spark, tmp_path):
 def test_permutations(tiny):
     rows = index.build_index(tiny).orderBy("obj_id").collect()
     assert [r["perm"] for r in rows] == PERM and [r["pos"] for r in rows] == POS
-    long = permutations.rank_long(tiny.objects, tiny.pivots).orderBy("obj_id", "ref_id").collect()
+    long = permutations.rank_long(tiny).orderBy("obj_id", "ref_id").collect()
     assert [r["pos"] for r in long] == sum(POS, [])
 
 
@@ -157,7 +157,105 @@ def test_code_values(spark):
     with pytest.raises(ValueError):
         codecs.delta_pack(np.array([0]))
     big = [1, 2**31, 2**40 + 3, 5]
-    assert codecs.delta_unpack(codecs.delta_pack(np.array(big))[1], 4) == big
+    assert codecs.delta_unpack(codecs.delta_pack(np.array(big))[1], 4).tolist() == big
+
+
+def test_codes_against_strings_and_words_one_by_one():
+    rng = random.Random(1)
+    for _ in range(150):
+        v = [rng.randrange(1, 2 ** rng.randrange(1, 62)) for _ in range(rng.randrange(0, 80))]
+        n, code = codecs.delta_pack(np.array(v, "i8"))
+        size = [bin(x.bit_length())[2:] for x in v]
+        text = "".join("0" * (len(s) - 1) + s + bin(x)[3:] for s, x in zip(size, v, strict=True))
+        assert n == len(text) and np.unpackbits(np.frombuffer(code, "u1"), bitorder="little")[:n].tolist() == list(map(int, text))
+        assert codecs.delta_unpack(code, len(v)).tolist() == v
+        v, at, words = [rng.randrange(2 ** rng.choice([1, 1, 2, 3, 5, 9, 28])) for _ in range(rng.randrange(0, 90))], 0, []
+        while at < len(v):
+            mode = next(k for k, (c, w) in enumerate(zip(codes.S9_COUNTS, codes.S9_BITS, strict=True)) if max(v[at : at + c]) < 1 << w)
+            count, width = codes.S9_COUNTS[mode], codes.S9_BITS[mode]
+            words.append(mode << 28 | sum(x << (28 - width * (k + 1)) for k, x in enumerate(v[at : at + count])))
+            at += count
+        assert [w % 2**32 for w in codecs.s9_pack(v)] == words
+    with pytest.raises(ValueError):
+        codecs.delta_unpack(codecs.delta_pack(np.array([5, 6]))[1], 9)
+
+
+def test_gamma_codes_and_reading_past_the_end(spark):
+    d = spark.createDataFrame([(v,) for v in (1, 2, 5, 8)], "x long")
+    assert [r[0] for r in d.orderBy("x").select(codes.gamma_bits(F.col("x"))).collect()] == ["1", "010", "00101", "0001000"]
+    d = spark.createDataFrame([(codecs.s9_pack([3, 1, 4]), 3)], "words array<int>, n long")
+    assert list(d.select(*[codes.s9_value(F.col("words"), F.col("n"), F.lit(i)).alias(f"v{i}") for i in range(5)]).first()) == [3, 1, 4, -1, -1]
+
+
+def test_gaps_across_runs(spark, monkeypatch):
+    """Unbroken chains over several runs, one of them without objects."""
+    monkeypatch.setattr(codecs, "SEGMENT", 4)
+    rng, objects = random.Random(3), [*range(10), *range(17, 25)]
+    rows = [(ref, i, rng.randrange(5)) for ref in range(3) for i in objects]
+    d = spark.createDataFrame(rows, "ref_id long, obj_id long, pos long")
+    gaps = codecs.gap_values(d, 5)
+    want, last = {}, {}
+    for ref, i, pos in rows:
+        want[ref, i] = (i * 5 + pos - last.get(ref, 0), ref not in last)
+        last[ref] = i * 5 + pos
+    assert {(r["ref_id"], r["obj_id"]): (r["gap"], r["first"]) for r in gaps.collect()} == want
+    assert sorted(map(tuple, codecs.restore_gaps(gaps, 5, 4).collect())) == sorted(rows)
+
+
+def test_sections_of_several_files_and_of_one_line(spark, tmp_path):
+    """Files of a folder follow each other by name, whatever their sizes; several blocks each."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    numbers, names = list(range(9000)), ["part-0", "part-1", "part-2"]
+    for name, (low, high) in zip(names, ((0, 500), (500, 6500), (6500, 9000)), strict=True):
+        (folder / name).write_text("".join(f"{x} {x + 1}\n" for x in numbers[low:high:2]))
+    (tmp_path / "line.txt").write_text(" ".join(map(str, numbers)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for path, separator in ((folder, "\n"), (tmp_path / "line.txt", " ")):
+            found = sections.read_tokens(spark, str(path), separator)
+            assert found.where(F.col("t") != F.col("x").cast("long")).count() == 0 and found.count() == 9000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_missing_and_short_files(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        sections.read_sections(spark, str(tmp_path / "none.txt"), "refs_first")
+    for text, what in (("2 3", "no header"), (REFS_FIRST[:-4], "tokens")):
+        (tmp_path / "short.txt").write_text(text)
+        with pytest.raises(ValueError, match=what):
+            sections.read_sections(spark, str(tmp_path / "short.txt"), "refs_first")
+
+
+def test_answers_by_distance(tiny, spark):
+    found = search.exact_topk(tiny, 7, "l1")
+    asked = spark.createDataFrame([(0, 8.0), (0, 3.5), (2, 14.0)], "q_id long, dist double")
+    assert {(r["q_id"], r["dist"]): r["obj_id"] for r in search.lookup_distance(found, asked).collect()} == {(0, 8.0): 1, (0, 3.5): -1, (2, 14.0): 0}
+    left = search.remove_distance(found, asked)
+    assert ids(left)[2] == [3, 2, 1, 5, 6, 4] and ids(left)[0] == [0, 4, 6, 5, 2, 3]
+
+
+def test_large_sides_are_not_broadcast(tiny, monkeypatch):
+    want = ids(search.footrule_topk(tiny, 3))
+    for module, name in ((permutations, "BROADCAST_NUMBERS"), (vectors, "BROADCAST_NUMBERS"), (search, "BULK_NUMBERS")):
+        monkeypatch.setattr(module, name, 1)
+    for form in (search.footrule_topk, search.footrule_topk_array, search.footrule_topk_bulk, search.permutation_topk):
+        found = form(tiny, 3)
+        assert ids(found) == want
+
+
+def test_bulk_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (900, 3)).astype(float).tolist()
+    d = lambda rows, key, v: spark.createDataFrame(rows, f"{key} long, {v} array<double>")
+    s = vectors.VectorSet(d(list(enumerate(x)), "obj_id", "v").repartition(3), d(list(enumerate(x[:6])), "ref_id", "rv"), d([(k, x[k]) for k in range(0, 900, 20)], "q_id", "qv"))
+    want = ids(search.footrule_topk_array(s, 7))
+    assert ids(search.footrule_topk_bulk(s, 7)) == want
+    monkeypatch.setattr(search, "BULK_NUMBERS", 60)
+    assert ids(search.footrule_topk_bulk(s, 7)) == want
 
 
 def test_past_32_bits(spark):
@@ -176,4 +274,4 @@ def test_index_round_trip(spark, tiny, tmp_path):
 def test_plans_push_down_and_limit(spark):
     s = vectors.split_embeddings(spark, "/root/testdata/sf0.001")
     plan = search.footrule_topk_array(s)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(vec_id" in plan and "WindowGroupLimit" in plan and "label" not in plan
+    assert "LessThan(vec_id" in plan and "WindowGroupLimit" in plan and "label" not in plan
