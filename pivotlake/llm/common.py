@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pivotlake.functions.shared import fresh_path
+
 #: A word is a run without space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,24 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) a temporary folder, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "pivotlake")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Tables written by this process and not deleted yet.
+_written: list[DataFrame] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends
     here and a lost executor costs no recomputation. ``discard`` deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._pivotlake_path = path
+    _written.append(out)
     return out
 
 
@@ -51,12 +44,37 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    _written[:] = [x for x in _written if all(x is not df for df in frames)]
+
+
+def written() -> list[DataFrame]:
+    """What ``materialize`` has written and nobody has deleted: what a caller finds new here
+    after a call belongs to that call's result, and can go when the result is stored."""
+    return list(_written)
+
+
+class Scratch:
+    """Writes tables like ``materialize`` and deletes all of them at the end of a ``with``:
+    only what was written apart from it stays."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        discard(*self.frames)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.frames.append(materialize(df, name))
+        return self.frames[-1]
 
 
-def wrap(rows: DataFrame, **own: Column) -> DataFrame:
-    """Each input row whole, as struct ``row``, beside the columns that an operator works
+def wrap(rows: DataFrame, carry: list[str] | None = None, /, **own: Column) -> DataFrame:
+    """Each input row whole, or its columns in ``carry``, as struct ``row``, beside the columns that an operator works
     with; so no name of the input can clash with a helper's. ``unwrap`` undoes it."""
-    return rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+    return rows.select(F.struct(*[rows[f"`{c}`"] for c in (rows.columns if carry is None else carry)]).alias("row"), *[c.alias(name) for name, c in own.items()])
 
 
 def unwrap(rows: DataFrame) -> DataFrame:

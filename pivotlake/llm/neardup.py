@@ -1,54 +1,75 @@
 """Near duplicates by a chosen-path similarity join, and the components of their links.
 
-A document's set holds its distinct shingles. Every set gets a minwise signature; a tree
-branches documents by signature coordinates that the path so far selects, the same for all
-documents of a node, so that two documents go on together as long as the selected minwise
-tokens agree. Each node selects ``FANOUT`` = 2 coordinates: a pair of similarity 0.8 stays
-together in some leaf with probability of at least 0.9375 at any depth (the root of
-p = 1 - (1 - 0.8 p)^2), and ``TREES`` = 4 independent trees miss it with probability 1.5e-5. The
-comparison of signatures misses another 4e-6, so both together miss it with 2e-5.
-
-Nodes of at most ``LEAF`` documents are compared exhaustively on signatures; larger ones
-branch again, down to ``DEPTH``. What is still large there is a family of near copies;
-large nodes of one smallest id are one family. It is compared with that head first, and then
-its documents outside the family's main component, as a stated query set, with all of the
-family, in blocks that confirm on full sets and return links only. The steps:
-
-1. exact copies of a set are one entity, of the smallest id;
-2. every entity is verified against its most similar smaller-id partner; verified links form
-   a forest, whose roots are components so far;
-3. documents of different components that share a node are compared exhaustively; verified
-   links contract components.
-
-No links, components or fingerprints come to the driver, no pairs inside one component are
-emitted, and every intermediate table is written to the shared folder.
+A document's set holds its distinct shingles. Every set gets a minwise signature of ``TREES``
+x ``COORDINATES`` tokens; every tree has coordinates of its own. A tree branches documents by
+coordinates that the path so far selects, the same for all documents of a node, so that two
+documents go on together as long as the selected minwise tokens agree. Each node selects
+``FANOUT`` = 2 coordinates: a pair of similarity 0.8 stays together in some node of any depth
+with probability of at least 0.9375 (the root of p = 1 - (1 - 0.8 p)^2), and ``TREES`` = 4
+independent trees miss it with probability 1.5e-5. Before full sets are compared, signatures
+must agree in ``LEAST`` of 128 tokens, which misses another 5e-7. Links are confirmed on full
+sets, always.
+
+1. Exact copies of a set are one entity, of the smallest id.
+2. Nodes of at most ``LEAF`` documents are compared exhaustively; larger ones branch again.
+3. A large node whose sample looks alike holds a family of near copies. Its documents are
+   compared with the family's core, the one that agrees most with the sample's commonest
+   tokens; confirmed links contract the family. Nodes of one component are done. Nodes where
+   few documents lie outside the main component compare these, as a stated query set in
+   blocks, with all of the node; the others branch on, down to ``DEPTH``, where all that lie
+   outside the main component are compared so.
+4. In small nodes every document is confirmed against its closest partner of smaller id, and
+   these links contract components.
+5. What then shares a node, is close and lies in different components is confirmed inside the
+   node, on full sets, with the components found there: a node of m documents gives at most
+   m - 1 links, however many of its documents are alike.
+
+No links, components or fingerprints come to the driver, no pairs are emitted unconfirmed but
+one per document and family or node, and tables between the steps are written to the shared
+folder and deleted.
 
 Defined results: null and empty texts have no set, size 0 and link with nothing; a text of
 fewer words than a shingle is one shingle; rows of one id are one document, which links
-through any of its texts; rows with null id take the component of rows with an equal set,
-else null, and are kept only then; an empty table gives an empty table. Other columns are
-not read, and pass through ``drop_near_duplicates``.
+through any of its texts; rows with null id link like others, but never name a component: a
+component of such rows only is null; an empty table gives an empty table. Other columns are
+not read, and pass through ``drop_near_duplicates``, which keeps one row of each component.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pivotlake.functions.shipping import ship
-from pivotlake.llm.common import discard, lean, materialize, table
-
-TREES, FANOUT, DEPTH, LEAF = 4, 2, 4, 96
-#: Signature coordinates, and the share of them that must agree before full sets are compared:
-#: a pair of similarity 0.8 agrees in fewer than 36 of 64 with probability 4e-6.
-COORDINATES, LEAST_AGREEMENT = 64, 0.55
-BLOCK = 1024
+from pivotlake.llm.common import Scratch, lean, materialize, table, unwrap, wrap
+
+TREES, FANOUT, DEPTH, LEAF = 4, 2, 8, 1024
+#: Signature tokens of each tree, and how many of all must agree before full sets are
+#: compared: a pair of similarity 0.8 agrees in fewer than 79 of 128 with probability 5e-7.
+COORDINATES, LEAST = 32, 79
+#: Documents of a block. Large nodes of two blocks at most, or with at most a block outside
+#: their main component, branch no more.
+BLOCK = 2048
+#: Documents in a node's sample at most, and how many of them must agree with the sample's
+#: commonest tokens as if linked, for the node to be a family. This steers work only.
+SAMPLE, ALIKE = 32, 2
+#: Nodes that hold more than this share of all rows are told apart by a broadcast list, which
+#: therefore has fewer than ``HOT_NODES`` rows; others are dealt by their key.
+HOT_NODES = 10_000
+#: Rows up to which a table of one row a node is broadcast (measured; 600 bytes each at most).
+BROADCAST_NODES = 20_000
+#: Rows of two ids up to which a table is broadcast (measured; 16 bytes each), and links up to
+#: which components are found in one task, instead of by rounds of joins.
+BROADCAST_IDS, LOCAL_LINKS = 500_000, 1_000_000
+#: Entities of null ids only are named from here on.
+NAMELESS = 1 << 62
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -92,56 +113,95 @@ def shingle_set(text: str | bytes | None, size: int = 2) -> np.ndarray:
     return np.unique(out)
 
 
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    return rng.integers(0, 2**64, n, "u8") | np.uint64(1), rng.integers(0, 2**64, n, "u8")
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(20).integers(0, 2**32, TREES * COORDINATES, "u4") | np.uint32(1)
 
 
-def signature(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minwise hashes, folded to 32 bits."""
-    low = np.full(len(a), 2**64 - 1, "u8")
-    for k in range(0, len(own), 2048):
-        np.minimum(low, (own[k : k + 2048, None] * a + b).min(0), out=low)
-    return (_mix(low) >> np.uint64(32)).astype("u4")
+def signature(own: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Minwise tokens of 16 bits: for every multiplier the smallest product with the set's
+    hashes, 32 bits of them, folded."""
+    x, low = (own >> np.uint64(32)).astype("u4"), np.full(len(a), 2**32 - 1, "u4")
+    room = np.empty((256, len(a)), "u4")
+    for k in range(0, len(x), 256):
+        part = x[k : k + 256, None]
+        np.minimum(low, np.multiply(part, a, out=room[: len(part)]).min(0), out=low)
+    return (_mix(low.astype("u8")) >> np.uint64(48)).astype("<u2")
 
 
-def sketch(docs: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, n, digest, sig, brief)`` per row; ``brief`` is a byte per coordinate."""
-    ship(docs.sparkSession)
+@dataclass(frozen=True)
+class Texts:
+    """Documents as this module reads them: ids, texts, words in a shingle."""
+
+    docs: DataFrame
+    size: int
+    nameless: bool = False
+
+    def sketch(self) -> DataFrame:
+        """``(doc_id, n, digest, sig)`` per row."""
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pivotlake.llm import neardup  # the worker's own module keeps tables of powers
+
+            a = _multipliers()
+            for batch in batches:
+                n, digest, sig = [], [], []
+                for t in batch.column(1).cast(pa.large_binary()):
+                    own = neardup.shingle_set(t.as_py(), size)
+                    n.append(len(own))
+                    digest.append(_digest(own.tobytes()))
+                    sig.append(neardup.signature(own, a).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
+
+        return self.docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, sig binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pivotlake.llm import neardup  # the worker's own module keeps tables of powers
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """``(id, set)`` for the entities among the stored ``ids``; only their texts become
+        sets again. Rows of one id with different texts give a row each. Entities without
+        an id are found by their set's digest."""
+        size = self.size
 
-        a, b = _multipliers(COORDINATES)
-        for batch in batches:
-            n, digest, sig, brief = [], [], [], []
-            for t in batch.column(1).cast(pa.large_binary()):
-                own = neardup.shingle_set(t.as_py(), size)
-                s = neardup.signature(own, a, b)
-                n.append(len(own))
-                digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                sig.append(s.tobytes())
-                brief.append(s.astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, brief))], ["doc_id", "n", "digest", "sig", "brief"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pivotlake.llm import neardup
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(lean(run), "doc_id long, n long, digest binary, sig binary, brief binary")
+            for b in batches:
+                sets = [neardup.shingle_set(t.as_py(), size).tobytes() for t in b.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array([_digest(x) for x in sets], pa.binary())], ["id", "set", "digest"])
 
+        made = lambda rows: rows.mapInArrow(lean(run), "id long, set binary, digest binary").where(F.length("set") > 0)
+        out = made(self.docs.join(_light(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).select("id", "set")
+        if self.nameless:
+            own = made(self.docs.where("doc_id is null")).select(_nameless(F.col("digest")).alias("id"), "set")
+            out = out.union(own.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        return out
 
-def _bytes(column: pa.Array, kind: str) -> np.ndarray:
-    """Equal-length binary values as rows of numbers."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _nameless(digest: Column) -> Column:
+    """The name of an entity without ids, from its digest."""
+    return F.xxhash64(digest).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+
+
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equal-length binary values as rows of tokens."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """The nodes that each row goes to: one per selected coordinate, which the node alone
-    decides; a child is named by its parent, the coordinate and the row's token there."""
-    g, t = _mix(node * _R + np.uint64(1)), np.uint64(sig.shape[1])
+    """The nodes that each row goes to: one per selected coordinate of the node's tree (its
+    two lowest bits), which the node alone decides; a child is named by its parent, the
+    coordinate and the row's token there."""
+    g, t, tree = _mix(node * _R + np.uint64(1)), np.uint64(COORDINATES), node & np.uint64(TREES - 1)
     first = g % t
     out = []
     for k in range(FANOUT):
         j = (first + np.uint64(k) * (np.uint64(1) + (g >> np.uint64(32)) % (t - np.uint64(1)))) % t
-        token = np.take_along_axis(sig, j[:, None].astype("i8"), 1)[:, 0].astype("u8")
-        out.append(_mix(_mix(node + j * _R) ^ (token * _R)))
+        token = np.take_along_axis(sig, (tree * t + j)[:, None].astype("i8"), 1)[:, 0].astype("u8")
+        child = _mix(_mix(node + j * _R) ^ (token * _R))
+        out.append((child & ~np.uint64(TREES - 1)) | tree)
     return np.stack(out, 1)
 
 
@@ -149,7 +209,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(node, id, sig)`` to the children's ``(node, id)``; null nodes are the roots."""
     for b in batches:
         if b.num_rows:
-            sig = _bytes(b.column(2), "<u4")
+            sig = _signatures(b.column(2))
             if b.column(0).null_count:
                 child = np.hstack([_children(np.full(len(sig), r, "u8"), sig) for r in range(TREES)])
             else:
@@ -158,26 +218,102 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view("i8")), pa.array(ids)], ["node", "id"])
 
 
-def grow_trees(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(node, id)`` rows of small nodes, of two documents or more, and those of nodes that
-    stay large at the last depth. One level a turn: count nodes, keep shared ones, branch
-    the large ones again."""
+def _of_node(rows: DataFrame, info: DataFrame, broadcast_rows: int = BROADCAST_NODES) -> DataFrame:
+    """``rows`` with what a stored table says of their nodes; it is broadcast if it is small,
+    so that no large node meets in a task."""
+    return rows.join(F.broadcast(info) if info.count() <= broadcast_rows else info, "node")
+
+
+def split_nodes(rows: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The stored ``(node, id)`` rows of small and of large nodes; documents alone in a node
+    go. Nodes with more than a ``HOT_NODES``-th of the rows are not dealt by their key."""
+    counts = keep(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "counts")
+    most = max(LEAF, rows.count() // HOT_NODES)
+    hot = F.broadcast(counts.where(F.col("size") > most))
+    rest = rows.join(hot.select("node"), "node", "left_anti").join(counts.where(F.col("size") <= most), "node")
+    shared = keep(rows.join(hot, "node").unionByName(rest), "shared")
+    return tuple(shared.where(which).select("node", "id") for which in (F.col("size") <= LEAF, F.col("size") > LEAF))
+
+
+def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, sigs)`` to ``(node, mode)``, the commonest token of every coordinate, where
+    the sample looks like a family."""
+    for b in batches:
+        nodes, modes = [], []
+        for node, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            sig = np.frombuffer(b"".join(own.as_py()), "<u2").reshape(-1, TREES * COORDINATES)
+            x = np.sort(sig, axis=0)
+            runs, best = np.ones(x.shape[1], "i4"), np.ones(x.shape[1], "i4")
+            mode = x[0].copy()
+            for k in range(1, len(x)):
+                runs = np.where(x[k] == x[k - 1], runs + 1, 1)
+                mode = np.where(runs > best, x[k], mode)
+                best = np.maximum(best, runs)
+            if ((sig == mode).sum(1) >= LEAST).sum() >= ALIKE:
+                nodes.append(node)
+                modes.append(mode.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(modes, pa.binary())], ["node", "mode"])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(x, y, sig, other)`` to ``(x, y, agree)``, agree the number of equal tokens."""
+    for b in batches:
+        if b.num_rows:
+            agree = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agree, pa.int64())], ["x", "y", "agree"])
+
+
+def core_pairs(large: DataFrame, sigs: DataFrame, keep: Scratch) -> DataFrame | None:
+    """The stored ``(a, b)``: every document of a family with the family's core, if their
+    signatures agree enough; None where no node is a family."""
+    pick = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id")).alias("r"))
+    sample = pick.select("node", F.col("r.id").alias("id")).join(sigs, "id").groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    modes = keep(sample.mapInArrow(lean(_commonest), "node long, mode binary"), "modes")
+    if modes.isEmpty():
+        return None
+    seen = keep(_of_node(large, modes).select("node", "id").join(sigs, "id"), "family")
+    like = _of_node(seen, modes).select("node", "id", "sig", "mode").mapInArrow(lean(_agreement), "x long, y long, agree long")
+    best = like.groupBy(F.col("x").alias("node")).agg(F.max(F.struct("agree", (-F.col("y")).alias("minus"))).alias("r")).select("node", (-F.col("r.minus")).alias("core"))
+    cores = keep(best.join(sigs.toDF("core", "other"), "core"), "cores")
+    both = _of_node(seen, cores).where("id <> core").select("id", "core", "sig", "other")
+    close = both.mapInArrow(lean(_agreement), "x long, y long, agree long").where(F.col("agree") >= LEAST)
+    return keep(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "core-pairs")
+
+
+def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """``(node, id)`` of small nodes; ``(node, id, size, n_out, main)`` of large ones that are
+    to be compared in blocks; and ``(child, root)`` of the links to cores. One level a turn:
+    count nodes, keep shared ones, contract families, branch the large ones again."""
     sigs = entities.select("id", "sig")
     rows = sigs.select(F.lit(None).cast("long").alias("node"), "id", "sig").mapInArrow(lean(_branch), "node long, id long")
-    small = []
+    small, parted, roots = [], [], None
     for depth in range(1, DEPTH + 1):
-        rows = materialize(rows, f"nodes-{depth}")
-        counts = rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        shared = materialize(rows.join(counts, "node"), f"shared-{depth}")
-        discard(rows)
-        small.append(shared.where(F.col("size") <= LEAF).select("node", "id"))
-        large = shared.where(F.col("size") > LEAF).select("node", "id")
-        if depth < DEPTH:
-            rows = large.join(sigs, "id").select("node", "id", "sig").mapInArrow(lean(_branch), "node long, id long")
-    return reduce(DataFrame.union, small), large
-
-
-def _by_node(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+        few, large = split_nodes(keep(rows, f"nodes-{depth}"), keep)
+        small.append(few)
+        if large.isEmpty():
+            break
+        sigs = keep(sigs.join(_light(keep(large.select("id").distinct(), "ids")), "id", "left_semi"), "large-sigs")
+        pairs = core_pairs(large, sigs, keep)
+        if pairs is not None:
+            roots = merge(roots, confirm_links(pairs, texts, keep), keep)
+        own = keep(relabel(large.withColumn("comp", F.col("id")), "comp", roots), "large")
+        parts = own.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("m"))
+        parts = keep(parts.select("node", "size", (F.col("size") - F.col("m.n")).alias("n_out"), F.col("m.comp").alias("main")).where("n_out > 0"), "parts")
+        own = _of_node(own.select("node", "id"), parts)
+        done = F.lit(depth == DEPTH) | (F.col("n_out") <= BLOCK) | (F.col("size") <= 2 * BLOCK)
+        parted.append(own.where(done))
+        if parts.where(~done).isEmpty():
+            break
+        rows = own.where(~done).join(sigs, "id").select("node", "id", "sig").mapInArrow(lean(_branch), "node long, id long")
+    return reduce(DataFrame.union, small), parted, roots
+
+
+def _light(rows: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Sorted batches, cut so that no group of the first ``keys`` columns is parted."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -199,29 +335,30 @@ def _by_node(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _close(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _close(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers (i, j), i before j in one node, whose signatures agree enough, and their
     agreement. All distances inside a node are gone through, vectorised over all nodes."""
-    node, brief = t.column(0).to_numpy(), _bytes(t["brief"].combine_chunks() if t.num_rows else t["brief"], "u1")
     i = np.arange(len(node) - 1)
     for gap in range(1, len(node)):
         i = i[i + gap < len(node)]
         i = i[node[i] == node[i + gap]]
         if not len(i):
             return
-        agree = (brief[i] == brief[i + gap]).mean(1)
-        ok = agree >= LEAST_AGREEMENT
+        agree = (sig[i] == sig[i + gap]).sum(1)
+        ok = agree >= LEAST
         if ok.any():
             yield i[ok], i[ok] + gap, agree[ok]
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, id, brief)``, sorted, to ``(id, partner, agree)``: each row that has any
-    close partner, with its closest one of smaller id, if any."""
-    for t in _by_node(batches, 1):
-        ids = t["id"].to_numpy()
-        best, partner, close = np.zeros(len(ids)), np.full(len(ids), -1, "i8"), np.zeros(len(ids), bool)
-        for i, j, agree in _close(t):
+    """``(node, id, sig, comp)``, sorted, to ``(id, partner, agree)``: each row that has any
+    close partner in another component, with its closest one of smaller id, if any."""
+    for t in _by_key(batches, 1):
+        ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
+        best, partner, close = np.zeros(len(ids), "i8"), np.full(len(ids), -1, "i8"), np.zeros(len(ids), bool)
+        for i, j, agree in _close(t["node"].to_numpy(), _signatures(t["sig"])):
+            other = comp[i] != comp[j]
+            i, j, agree = i[other], j[other], agree[other]
             close[i] = close[j] = True
             better = agree > best[j]
             best[j[better]], partner[j[better]] = agree[better], i[better]
@@ -230,175 +367,291 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[partner[own]], mask=~some), pa.array(best[own])], ["id", "partner", "agree"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, id, brief, comp)``, sorted, to close pairs of different components."""
-    for t in _by_node(batches, 1):
-        ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
-        for i, j, _ in _close(t):
-            ok = comp[i] != comp[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(ids[j[ok]])], ["a", "b"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(head, asked_block, block, id, brief, comp, asks, set)``, sorted, to one confirmed
-    link, if there is any, of every asking row with every other component in its block.
-    Signatures choose the rows whose full sets are compared."""
-    for t in _by_node(batches, 3):
-        cut = np.flatnonzero(np.any([np.diff(t.column(k).to_numpy()) != 0 for k in range(3)], axis=0)) + 1
-        ids, comp, asks, brief = t["id"].to_numpy(), t["comp"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), _bytes(t["brief"].combine_chunks(), "u1")
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t["set"]]
-        size = np.array([len(x) for x in sets])
-        for own in np.split(np.arange(len(ids)), cut):
-            rest = own[~asks[own]]
-            for q in own[asks[own]]:
-                near = rest[((brief[rest] == brief[q]).mean(1) >= LEAST_AGREEMENT) & (comp[rest] != comp[q])]
-                if not len(near):
-                    continue
-                every, mine = np.concatenate([sets[k] for k in near]), sets[q]
-                found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
-                both = np.add.reduceat(found.astype("i8"), np.cumsum(size[near]) - size[near])
-                ok = near[100 * both >= 80 * (size[near] + len(mine) - both)]
-                if len(ok):
-                    ok = ok[np.unique(comp[ok], return_index=True)[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[ok], ids[q])), pa.array(np.maximum(ids[ok], ids[q]))], ["a", "b"])
+#: A cell is a small node, or a block of a large one with a block of those that ask in it.
+CELL = "node long, asked_block long, block long, id long, asks boolean"
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(id, brief, partner, partner_brief)`` to ``(id, partner, agree)``."""
-    for b in batches:
-        if b.num_rows:
-            agree = (_bytes(b.column(1), "u1") == _bytes(b.column(3), "u1")).mean(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(2).to_numpy(), mask=agree < LEAST_AGREEMENT), pa.array(agree)], ["id", "partner", "agree"])
+def _pairs_of_cell(sig: np.ndarray, comp: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every asking row of a cell, the close rows of other components, and the agreement.
+    Pairs of rows that both ask come once."""
+    for q in np.flatnonzero(asks):
+        rest = np.flatnonzero((comp != comp[q]) & (~asks | (np.arange(len(asks)) > q)))
+        agree = (sig[rest] == sig[q]).sum(1)
+        ok = agree >= LEAST
+        if ok.any():
+            yield q, rest[ok], agree[ok]
+
+
+def _cells(t: pa.Table) -> list[np.ndarray]:
+    cut = np.flatnonzero(np.any([np.diff(t.column(k).to_numpy()) != 0 for k in range(3)], axis=0)) + 1
+    return np.split(np.arange(t.num_rows), cut)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``CELL`` with ``sig`` and ``comp``, sorted, to the ``CELL`` rows that take part in any
+    close pair of different components. No pair leaves the cell."""
+    for t in _by_key(batches, 3):
+        sig, comp, asks = _signatures(t["sig"]), t["comp"].to_numpy(), t["asks"].to_numpy()
+        marked = np.zeros(t.num_rows, bool)
+        for own in _cells(t):
+            if (comp[own] != comp[own[0]]).any():
+                for q, near, _ in _pairs_of_cell(sig[own], comp[own], asks[own]):
+                    marked[own[q]] = marked[own[near]] = True
+        yield from t.filter(pa.array(marked)).select(["node", "asked_block", "block", "id", "asks"]).to_batches()
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 x intersection >= 80 x union, for sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(x) < 80 * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+class CellSets:
+    """The sets of one cell, their elements numbered, so that one set is compared with many
+    at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        self.end = np.cumsum(self.size)
+        elements, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.own = np.zeros(len(elements), bool)
+
+    def similar(self, q: int, rows: np.ndarray) -> np.ndarray:
+        """Whether 100 x intersection >= 80 x union, for set q with each of ``rows``."""
+        rows = rows[(100 * self.size[rows] >= 80 * self.size[q]) & (100 * self.size[q] >= 80 * self.size[rows])]
+        if not len(rows):
+            return rows
+        mine = self.codes[self.end[q] - self.size[q] : self.end[q]]
+        self.own[mine] = True
+        size = self.size[rows]
+        at = np.repeat(self.end[rows] - np.cumsum(size), size) + np.arange(size.sum())
+        both = np.add.reduceat(self.own[self.codes[at]].astype("i8"), np.cumsum(size) - size)
+        self.own[mine] = False
+        return rows[100 * both >= 80 * (size + len(mine) - both)]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``CELL`` with ``sig``, ``comp`` and ``set``, sorted, to confirmed links ``(a, b)`` that
+    join components: one per pair of components at most, and rows whose components a link of
+    the cell has joined already are passed over; so links are fewer than rows."""
+    for t in _by_key(batches, 3):
+        ids, sig, comp, asks = t["id"].to_numpy(), _signatures(t["sig"]), t["comp"].to_numpy(), t["asks"].to_numpy()
+        sets, a, b = t["set"].combine_chunks(), [], []
+        for own in _cells(t):
+            cell, root = None, {c: c for c in comp[own].tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for q, near, _ in _pairs_of_cell(sig[own], comp[own], asks[own]):
+                mine = find(int(comp[own[q]]))
+                near = near[[find(c) != mine for c in comp[own[near]].tolist()]]
+                if not len(near):
+                    continue
+                cell = cell or CellSets([np.frombuffer(sets[int(k)].as_buffer(), "<u8") for k in own])
+                for k in cell.similar(q, near).tolist():
+                    x, y = find(int(comp[own[q]])), find(int(comp[own[k]]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(ids[own[q]])
+                        b.append(ids[own[k]])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(a, b, set_a, set_b)`` to the pairs with 100 x intersection >= 80 x union."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+        keep = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
 
 
-def confirm_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm_links(pairs: DataFrame, texts: Texts, keep: Scratch) -> DataFrame:
     """The ``(a, b)`` whose full sets are similar enough."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirm), "a long, b long").distinct()
-
-
-def full_sets(docs: DataFrame, ids: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(id, set)`` for the documents among ``ids``; only their texts become sets again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pivotlake.llm import neardup
-
-        for b in batches:
-            sets = [neardup.shingle_set(t.as_py(), size).tobytes() for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+    if pairs.isEmpty():
+        return pairs
+    sets = keep(texts.sets(keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")), "sets")
+    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirm), "a long, b long")
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids.select("id"), "id", "left_semi")
-    return own.mapInArrow(lean(run), "id long, set binary").where(F.length("set") > 0)
 
-
-def compress(forest: DataFrame) -> DataFrame:
+def compress(forest: DataFrame, keep: Scratch) -> DataFrame:
     """``(child, parent)``, parents smaller than children, to ``(child, root)`` by pointer
     jumping: the number of turns is the logarithm of the depth."""
-    at = materialize(forest.select("child", "parent"), "forest")
+    at = keep(forest.select("child", "parent"), "forest")
     while True:
         up = at.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        new = materialize(at.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "forest")
-        discard(at)
-        at = new
+        at = keep(at.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "forest")
         if at.where("moved").isEmpty():
             return at.select("child", F.col("parent").alias("root"))
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """``(child, root)`` for the components of any graph: every end hooks to its smallest
-    smaller neighbour, hooks are compressed, edges are renamed, until none is left."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    total = None
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` to ``(child, root)``."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for t in batches:
+        for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = [(x, y) for x in list(root) if (y := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["child", "root"])
+
+
+def contract(edges: DataFrame, keep: Scratch, local: int = LOCAL_LINKS) -> DataFrame | None:
+    """``(child, root)``, stored, for the components of any graph; None where there is no
+    edge. Few links (counted) are joined in one task. For more, every end hooks to its
+    smallest smaller neighbour, hooks are compressed, edges are renamed, until none is left."""
+    tidy = lambda e: keep(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "edges")
+    edges, total = tidy(edges), None
+    n = edges.count()
+    if n and n <= local:
+        return keep(edges.coalesce(1).mapInArrow(lean(_union_find), "child long, root long"), "roots")
     while not edges.isEmpty():
-        roots = compress(edges.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")))
-        total = roots if total is None else relabel(total, "root", roots).union(roots)
-        if total is not roots:
-            total = materialize(total, "roots")
-        moved = relabel(relabel(edges, "a", roots), "b", roots)
-        new = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-        discard(edges)
-        edges = new
+        roots = compress(edges.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")), keep)
+        total = roots if total is None else keep(relabel(total, "root", roots).union(roots), "roots")
+        edges = tidy(relabel(relabel(edges, "a", roots), "b", roots).distinct())
     return total
 
 
 def relabel(rows: DataFrame, column: str, roots: DataFrame | None) -> DataFrame:
-    """``rows`` with ``column`` replaced by its root, where it has one."""
+    """``rows`` with ``column`` replaced by its root, where the stored ``roots`` have one."""
     if roots is None:
         return rows
-    r = roots.toDF("_child", "_root")
+    r = _light(roots).toDF("_child", "_root")
     return rows.join(r, F.col(column) == F.col("_child"), "left").withColumn(column, F.coalesce("_root", column)).drop("_child", "_root")
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
-    rows = materialize(sketch(docs, size, text_col, id_col), "sketches")
-    firsts = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "brief")).alias("r"))
-    entities = materialize(firsts.select("digest", F.col("r.doc_id").alias("id"), "r.sig", "r.brief"), "entities")
-    names = materialize(rows.select("doc_id", "n", "digest"), "names")
-    discard(rows)
-    small, large = grow_trees(entities)
-    briefs = entities.select("id", "brief")
-
-    # the closest partner of smaller id, in small nodes and against a large node's smallest id
-    near = small.join(briefs, "id").select("node", "id", "brief").repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_partners), "id long, partner long, agree double")
-    heads = large.groupBy("node").agg(F.min("id").alias("head"))
-    # nodes of one group of copies hold nearly the same documents: those of one head are one
-    families = materialize(large.join(heads, "node").select("head", "id").distinct(), "families")
-    far = families.where("id <> head").join(briefs, "id").join(briefs.toDF("head", "head_brief"), "head").select("id", "brief", "head", "head_brief").toDF("id", "brief", "partner", "partner_brief").mapInArrow(lean(_agreement), "id long, partner long, agree double")
-    head_ids = families.where("id = head").select("id", F.lit(None).cast("long").alias("partner"), F.lit(0.0).alias("agree"))
-    ranked = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
-    chosen = materialize(near.union(far).union(head_ids).groupBy("id").agg(ranked.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
-    sets = materialize(full_sets(docs, chosen, size, text_col, id_col), "sets")
-    links = confirm_links(chosen.where("partner is not null and partner < id").select(F.col("partner").alias("a"), F.col("id").alias("b")), sets)
-    forest = compress(links.select(F.col("b").alias("child"), F.col("a").alias("parent")))
-
-    # pairs of different components that share a node
-    known = materialize(relabel(chosen.select("id", F.col("id").alias("comp")), "comp", forest).join(briefs, "id"), "known")
-    across = small.join(known, "id").select("node", "id", "brief", "comp").repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_across), "a long, b long")
-    own = families.join(known, "id")
-    parts = own.groupBy("head", "comp").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("size > main.n")
-    parted = own.join(parts, "head").join(sets, "id").withColumn("asks", F.col("comp") != F.col("main.comp"))
+def merge(roots: DataFrame | None, edges: DataFrame, keep: Scratch) -> DataFrame | None:
+    """``(child, root)`` after more links."""
+    new = contract(relabel(relabel(edges, "a", roots), "b", roots), keep)
+    if roots is None or new is None:
+        return roots if new is None else new
+    return keep(relabel(roots, "root", new).union(new), "roots")
+
+
+def dealt_cells(parted: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Large nodes as ``CELL`` rows: the documents outside the main component ask; blocks of
+    them meet blocks of the whole node."""
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
-    parted = parted.withColumn("n_asked", blocks(F.col("size") - F.col("main.n"))).withColumn("n_all", blocks(F.col("size")))
-    spot = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = (
-        parted.where("asks").withColumn("asked_block", F.pmod(spot, F.col("n_asked"))).withColumn("block", every("n_all"))
-        .unionByName(parted.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(spot, F.col("n_all"))).withColumn("asked_block", every("n_asked")))
-        .select("head", "asked_block", "block", "id", "brief", "comp", "asks", "set")
-    )
-    blocked = dealt.repartition("head", "asked_block", "block").sortWithinPartitions("head", "asked_block", "block").mapInArrow(lean(_blocks), "a long, b long")
-    more = confirm_links(across.distinct(), sets).union(blocked)
-    roots = known.select("id", "comp")
-    edges = more.join(roots.toDF("a", "ca"), "a").join(roots.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = contract(edges)
-    comps = relabel(roots, "comp", merged).where("comp <> id").groupBy("id").agg(F.min("comp").alias("comp"))
-
-    ids = entities.select(F.col("digest").alias("_digest"), "id")
-    out = names.join(ids, F.col("digest") == F.col("_digest"), "left").join(comps, "id", "left")
-    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    spot = F.xxhash64("id")
+    own = relabel(relabel(parted.withColumn("comp", F.col("id")), "comp", roots), "main", roots)
+    rows = own.select("node", "id", (F.col("comp") != F.col("main")).alias("asks"), blocks(F.col("n_out")).alias("n_asked"), blocks(F.col("size")).alias("n_all"))
+    asking = rows.where("asks").withColumn("asked_block", F.pmod(spot, F.col("n_asked"))).withColumn("block", every("n_all"))
+    rest = rows.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(spot, F.col("n_all"))).withColumn("asked_block", every("n_asked"))
+    return asking.unionByName(rest).select("node", "asked_block", "block", "id", "asks")
+
+
+def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratch) -> DataFrame:
+    """``(doc_id, n, digest, comp)`` per row of ``docs``: ``comp`` is the component's smallest
+    id, or a name from ``NAMELESS`` on, or null where there is no set."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = keep(Texts(docs, size).sketch(), "sketches")
+    firsts = rows.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
+    entities = keep(firsts.select("digest", F.coalesce("id", _nameless(F.col("digest"))).alias("id"), "sig"), "entities")
+    texts = Texts(docs, size, not entities.where(F.col("id") >= NAMELESS).isEmpty())
+    names = keep(rows.select("doc_id", "n", "digest").join(entities.select("digest", "id"), "digest", "left"), "names")
+    small, parted, roots = grow_trees(texts, entities, keep)
+    sigs = entities.select("id", "sig")
+
+    # the closest partner of smaller id in small nodes
+    within = relabel(small.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").select("node", "id", "sig", "comp")
+    near = within.repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_partners), "id long, partner long, agree long")
+    best = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
+    chosen = keep(near.groupBy("id").agg(best.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
+    pairs = keep(chosen.where("partner is not null and partner <> id").select(F.col("partner").alias("a"), F.col("id").alias("b")), "partner-pairs")
+    roots = merge(roots, confirm_links(pairs, texts, keep), keep)
+
+    # what is left of close documents in different components is confirmed inside the cells
+    zero = F.lit(0).cast("long")
+    cells = small.join(chosen, "id", "left_semi").select("node", zero.alias("asked_block"), zero.alias("block"), "id", F.lit(True).alias("asks"))
+    for p in parted:
+        cells = cells.union(dealt_cells(p, roots))
+    key = ("node", "asked_block", "block")
+    known = relabel(cells.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").select(*key, "id", "asks", "sig", "comp")
+    marks = keep(known.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_marks), CELL), "marks")
+    # rows of one id with several sets are one document
+    several = names.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()
+    firsts = several.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    links = several.join(firsts, "doc_id").select("a", F.col("id").alias("b"))
+    if not marks.isEmpty():
+        sets = keep(texts.sets(keep(marks.select("id").distinct(), "ids")), "sets")
+        own = relabel(marks.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").join(sets, "id").select(*key, "id", "asks", "sig", "comp", "set")
+        links = links.union(own.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_links), "a long, b long"))
+    roots = merge(roots, links, keep)
+    return relabel(names.withColumn("comp", F.col("id")), "comp", roots).select("doc_id", "n", "digest", "comp")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
+    with Scratch() as keep:
+        found = cluster(docs, size, text_col, id_col, keep)
+        component = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NAMELESS, F.col("comp"))
+        out = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return materialize(out, "components")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component. Shingles have five
-    words; two are the contract of op2 only, and link documents that merely share phrases."""
-    kept = near_duplicates(docs, size, text_col, id_col).where("kept").select("doc_id").distinct()
-    return docs.alias("l").join(kept.alias("r"), F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")), "left_semi")
+    words; two are the contract of op2 only, and link documents that merely share phrases.
+    Of rows that repeat an id one stays, and of components of null ids only one row. Texts
+    without a word link with nothing, so all such rows of different ids, or of none, stay."""
+    with Scratch() as keep:
+        found = keep(cluster(docs, size, text_col, id_col, keep), "found")
+        ids = materialize(found.where("doc_id is not null and (comp is null or doc_id = comp)").select("doc_id").distinct(), "kept-ids")
+        twice = keep(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null"), "twice")
+        nulls = not found.where("doc_id is null").isEmpty()
+        again = not twice.isEmpty()
+        lone = materialize(found.where("doc_id is null and comp >= " + str(NAMELESS)).groupBy("comp").agg(F.min("digest").alias("digest")).select("digest"), "kept-digests") if nulls else None
+        twice = materialize(twice.select("doc_id"), "twice-ids") if again else None
+    among = lambda rows, few, how: rows.alias("l").join(few.alias("r"), F.col(f"l.`{id_col}`").cast("long") == F.col("r.doc_id"), how)
+    kept = among(docs, ids, "left_semi")
+    if again:
+        kept = among(kept, twice, "left_anti").union(among(kept, twice, "left_semi").dropDuplicates([id_col]))
+    if nulls:
+        kept = kept.union(_nameless_rows(docs.where(docs[f"`{id_col}`"].isNull()), lone, size, text_col))
+    return kept
+
+
+def _nameless_rows(rows: DataFrame, lone: DataFrame, size: int, text_col: str) -> DataFrame:
+    """Of rows without ids those without a set, and one of each digest in ``lone``."""
+
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        from pivotlake.llm import neardup
+
+        sets = [neardup.shingle_set(t.as_py(), size).tobytes() for t in texts.cast(pa.large_binary())]
+        return pa.array([neardup._digest(x) if x else None for x in sets], pa.binary())
+
+    own = wrap(rows, digest=digest(F.col(text_col)))
+    first = own.join(lone.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left_semi").dropDuplicates(["digest"])
+    return unwrap(own.where("digest is null").union(first))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+ORACLE = r"""
+with recursive d as materialized (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select k, doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+u as materialized (select k, len(s) as n, unnest(s) as g from s),
+p as (select a.k as a, b.k as b, a.n as na, b.n as nb, count(*) as m from u a join u b on a.g = b.g and a.k < b.k and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+l as materialized (select x.doc_id as x, y.doc_id as y from p join d x on x.k = p.a join d y on y.k = p.b where 100 * m >= 80 * (na + nb - m)),
+e as materialized (select x, y from l union select y, x from l),
+r(x, c) as (select distinct doc_id, doc_id from d where doc_id is not null union select e.x, r.c from r join e on e.y = r.x),
+c as (select x, min(c) as c from r group by x)
+select doc_id, len(s)::BIGINT as n_shingles, c as component_id, doc_id is not distinct from c as kept from s left join c on c.x = doc_id
+"""

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
+        "op2_near_duplicates": neardup.ORACLE,
         "op4_mix_sources": mixing.ORACLE,
         "op7_chat_format": chat.ORACLE,
     }
