@@ -540,13 +540,13 @@ def merge(roots: DataFrame | None, edges: DataFrame, keep: Scratch) -> DataFrame
     return keep(relabel(roots, "root", new).union(new), "roots")
 
 
-def dealt_cells(parted: DataFrame, roots: DataFrame | None) -> DataFrame:
+def dealt_cells(parted: DataFrame, known: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Large nodes as ``CELL`` rows: the documents outside the main component ask; blocks of
     them meet blocks of the whole node."""
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spot = F.xxhash64("id")
-    own = relabel(relabel(parted.withColumn("comp", F.col("id")), "comp", roots), "main", roots)
+    own = relabel(parted.join(known, "id"), "main", roots)
     rows = own.select("node", "id", (F.col("comp") != F.col("main")).alias("asks"), blocks(F.col("n_out")).alias("n_asked"), blocks(F.col("size")).alias("n_all"))
     asking = rows.where("asks").withColumn("asked_block", F.pmod(spot, F.col("n_asked"))).withColumn("block", every("n_all"))
     rest = rows.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(spot, F.col("n_all"))).withColumn("asked_block", every("n_asked"))
@@ -564,10 +564,11 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     texts = Texts(docs, size, not entities.where(F.col("id") >= NAMELESS).isEmpty())
     names = keep(rows.select("doc_id", "n", "digest").join(entities.select("digest", "id"), "digest", "left"), "names")
     small, parted, roots = grow_trees(texts, entities, keep)
-    sigs = entities.select("id", "sig")
+    # components are told to entities, not to their many places in nodes
+    known = lambda roots: relabel(entities.select("id", "sig", F.col("id").alias("comp")), "comp", roots)
 
     # the closest partner of smaller id in small nodes
-    within = relabel(small.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").select("node", "id", "sig", "comp")
+    within = small.join(known(roots), "id").select("node", "id", "sig", "comp")
     near = within.repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_partners), "id long, partner long, agree long")
     best = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
     chosen = keep(near.groupBy("id").agg(best.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
@@ -578,17 +579,17 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     zero = F.lit(0).cast("long")
     cells = small.join(chosen, "id", "left_semi").select("node", zero.alias("asked_block"), zero.alias("block"), "id", F.lit(True).alias("asks"))
     for p in parted:
-        cells = cells.union(dealt_cells(p, roots))
+        cells = cells.union(dealt_cells(p, known(roots).select("id", "comp"), roots))
     key = ("node", "asked_block", "block")
-    known = relabel(cells.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").select(*key, "id", "asks", "sig", "comp")
-    marks = keep(known.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_marks), CELL), "marks")
+    close = cells.join(known(roots), "id").select(*key, "id", "asks", "sig", "comp")
+    marks = keep(close.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_marks), CELL), "marks")
     # rows of one id with several sets are one document
     several = names.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()
     firsts = several.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
     links = several.join(firsts, "doc_id").select("a", F.col("id").alias("b"))
     if not marks.isEmpty():
         sets = keep(texts.sets(keep(marks.select("id").distinct(), "ids")), "sets")
-        own = relabel(marks.withColumn("comp", F.col("id")), "comp", roots).join(sigs, "id").join(sets, "id").select(*key, "id", "asks", "sig", "comp", "set")
+        own = marks.join(known(roots), "id").join(sets, "id").select(*key, "id", "asks", "sig", "comp", "set")
         links = links.union(own.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_links), "a long, b long"))
     roots = merge(roots, links, keep)
     return relabel(names.withColumn("comp", F.col("id")), "comp", roots).select("doc_id", "n", "digest", "comp")
