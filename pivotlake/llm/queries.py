@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.ORACLE,
         "op2_near_duplicates": neardup.ORACLE,
         "op4_mix_sources": mixing.ORACLE,
+        "op5_secret_scan": secrets.ORACLE,
         "op7_chat_format": chat.ORACLE,
     }
