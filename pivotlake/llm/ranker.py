@@ -46,27 +46,36 @@ _STOP = frozenset(f(w).encode() for w in _STOP_WORDS for f in (str.lower, str.up
 #: Characters whose shares are features, a group each.
 _GROUPS = (b"|", b"#$%*&<>", b"!", b"?", b".", b",", b"0123456789", b"{}[]()=;", b"\"'")
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-N_BASE = 19
+_WHITE = b"\t\n\x0b\x0c\r "
+N_BASE = 21
+
+
+def _capital(word: bytes) -> bool:
+    return 65 <= word[0] <= 90 if word[0] < 128 else word.decode("utf-8", "surrogatepass")[0].isupper()
 
 
 def text_features(text: str | None) -> list[float]:
-    """Measures of one text; shares are taken of words or characters. Bytes are counted
-    whole passes at a time; only distinct words are looked at one by one."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+    """Measures of one text; shares are taken of words or characters. Characters of a group
+    are counted in whole passes over the bytes; only distinct words are looked at one by
+    one. Lengths count code points."""
+    text = text or ""
+    raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
         return [0.0] * N_BASE
-    n, chars = len(words), len(raw)
-    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    counts = Counter(words)
-    missing = lambda group: chars - len(raw.translate(None, group))
+    n, chars = len(words), len(text)
+    lines = [x for x in text.split("\n") if x and not x.isspace()] or [text]
+    counts, pairs = Counter(words), Counter(zip(words, islice(words, 1, None), strict=False))
+    missing = lambda group: len(raw) - len(raw.translate(None, group))
     return [
         math.log1p(n),
-        (chars - n) / n / 10,
+        (chars - missing(_WHITE)) / n / 10,
         len(counts) / n,
         max(counts.values()) / n,
+        sum(v for v in pairs.values() if v > 1) / n,
         sum(map(eq, words, islice(words, 1, None))) / n,
         sum(counts[w] for w in _STOP & counts.keys()) / n,
+        sum(v for w, v in counts.items() if _capital(w)) / n,
         missing(_UPPER) / chars,
         1 - len(set(lines)) / len(lines),
         math.log1p(n / len(lines)) / 5,
@@ -84,18 +93,24 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
-    """Weights and threshold from feature rows and labels. Each pair is a good and a bad
-    row; rows of the smaller class meet ``PARTNERS`` random partners of the other."""
-    x = expand(x)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
+def preference_pairs(y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the good and of the bad member of each pair. Rows of the smaller class
+    meet ``PARTNERS`` random partners of the other, and every row takes part once at least
+    (as far as ``MAX_PAIRS`` allows), before any takes part twice more."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rng = np.random.default_rng(seed)
     n = min(MAX_PAIRS, max(PARTNERS * min(len(good), len(bad)), len(good), len(bad)))
-    # every row takes part before any takes part twice more
     turn = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
-    diff = z[turn(good)] - z[turn(bad)]
+    return turn(good), turn(bad)
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
+    """Weights and threshold from feature rows and labels."""
+    x = expand(x)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = (x - mean) / scale
+    good, bad = preference_pairs(y, seed)
+    diff, n = z[good] - z[bad], len(good)
     w = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps on a convex loss
         p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
@@ -108,7 +123,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
     scores = z @ w
     # between the scores on either side of the quantile
     ranked = np.sort(scores)
-    k = len(bad)
+    k = int((y == 0).sum())
     return {"mean": mean, "scale": scale, "w": w, "cut": float((ranked[k - 1] + ranked[k]) / 2)}
 
 
