@@ -25,29 +25,45 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 
 
+def number_sources(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_n``, the place of the source in code-point order, null last. Sources
+    are dealt by ranges and numbered inside each; only the ranges' counts, one row a range,
+    come to the driver. So no task orders all sources, which may be hosts."""
+    ranges = materialize(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    first = {k: sum(n for j, n in counts if j < k) for k, _ in counts}
+    before = sizes.sparkSession.createDataFrame(list(first.items()) or [(0, 0)], "_range int, _first long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.join(F.broadcast(before), "_range").withColumn("_n", F.col("_first") + inside - 1).drop("_range", "_first")
+
+
+def common_level(sources: DataFrame) -> float:
+    """The level at which the lesser of weight x level and ceiling, over all sources, uses up
+    all sizes. Each turn takes the sources that reach their ceiling under the last level as
+    full, and finds the level of the others from sums; levels only rise, towards the one
+    sought (Newton's steps on a concave function), so few turns are needed."""
+    own = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
+    total, weights, level = own["t"], own["w"], own["t"] / max(own["w"], 1)
+    while True:
+        full = sources.where(F.col("_top").cast("double") / F.col("_w").cast("double") <= F.lit(level)).agg(F.coalesce(F.sum("_top"), F.lit(0)).alias("t"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
+        if full["w"] == weights:
+            return level
+        new = (total - full["t"]) / (weights - full["w"])
+        if new <= level:
+            return level
+        level = new
+
+
 def source_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(source, source_size, target, rate)``. Sources in code-point order, null last, get
-    the weights in turn. A common level is sought such that each source takes the lesser of
-    weight x level and ceiling x size, and all sizes are used up: with sources ordered by the
-    level at which they reach their ceiling, it is the largest of the levels found by taking
-    each prefix as the capped ones. Windows run over one row per source only."""
-    sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_n")).groupBy("source").agg(F.sum("_n").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    full = Window.partitionBy(F.lit(0))
-    w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("long")
-    before = Window.orderBy("_full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    top = (ceiling * F.col("source_size")).cast("long")
-    level = (F.sum("source_size").over(full) - F.coalesce(F.sum("_top").over(before), F.lit(0))).cast("double") / (F.sum("_w").over(full) - F.coalesce(F.sum("_w").over(before), F.lit(0))).cast("double")
-    target = F.least(F.col("_top").cast("double"), F.col("_w").cast("double") * F.max("_level").over(full))
-    return (
-        sizes.withColumn("_w", w)
-        .withColumn("_top", top)
-        .withColumn("_full_at", F.col("_top").cast("double") / F.col("_w").cast("double"))
-        .withColumn("_level", level)
-        .withColumn("target", target)
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .select("source", "source_size", "target", "rate")
-    )
+    the weights in turn; their targets are the lesser of weight x level and ceiling x size,
+    at the level that uses up all sizes."""
+    sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long")
+    sources = materialize(number_sources(sizes).withColumn("_w", w).withColumn("_top", (ceiling * F.col("source_size")).cast("long")), "mix-sources")
+    target = F.least(F.col("_top").cast("double"), F.col("_w").cast("double") * F.lit(common_level(sources)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return sources.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
 def draw(*parts: Column, seed: str = SEED) -> Column:
@@ -58,10 +74,9 @@ def draw(*parts: Column, seed: str = SEED) -> Column:
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``(row, size, source_size, target, copies)`` per input row, the row itself as a
-    struct. The rates are written first (one row per source) and broadcast only if they are
-    few; else the join shuffles and splits skewed partitions."""
-    rates = materialize(source_rates(docs, weights, ceiling, text_col, source_col), "mix-rates")
-    rates = rates.withColumnRenamed("source", "own")
+    struct. The rates (one row per source) come from a stored table and are broadcast only if
+    they are few; else the join shuffles and splits skewed partitions."""
+    rates = source_rates(docs, weights, ceiling, text_col, source_col).withColumnRenamed("source", "own")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rows = wrap(docs, id=F.col(id_col), source=F.col(source_col), size=word_count(F.col(text_col)))
