@@ -13,9 +13,10 @@ can hold a control string, and reading back is exact.
 
 Defined results: null texts and roles are empty strings; rows are ordered by turn (null
 last), then role, then text; repeated rows are turns of their own; null ``conv_id`` is one
-conversation; conversations without an assistant have a transcript and no example. Long
-conversations are gathered in blocks of turns before they are joined. Other columns are not
-read.
+conversation; conversations without an assistant have a transcript and no example; an empty
+table gives an empty table. A text may be as long as a row may be, and so may a transcript.
+Long conversations are gathered in blocks of turns before they are joined. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -136,18 +137,19 @@ def _turn(segment: Column) -> Column:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests per conversation, from its written examples. Each gives the turns of its
-    context that the one before does not hold, and its reply; so each turn counts once."""
+    context that the one before does not hold, and its reply; so each turn counts once.
+    ``n_examples`` and ``context_chars`` count the examples and all of their contexts."""
     fresh = F.concat(F.expr("substring(context, cast(known + 1 as int))"), F.coalesce(F.concat("reply", F.lit(END)), F.lit("")))
     joined = lambda parts: F.array_join(F.array_sort(parts)["x"], "")
     return (
         written_examples(formatted)
-        .select("conv_id", "example", "reply", fresh.alias("_f"))
-        .select("conv_id", "example", "reply", F.length("_f").alias("_chars"), segments(F.col("_f")).alias("_s"))
-        .select("conv_id", "_chars", F.size("_s").cast("long").alias("_n"), F.struct("example", F.array_join(F.transform("_s", _turn), "").alias("x")).alias("_t"), F.when(F.col("reply").isNotNull(), F.struct("example", unescape(F.col("reply")).alias("x"))).alias("_m"))
+        .select("conv_id", "example", "reply", F.when(F.col("reply").isNotNull(), F.length("context").cast("long")).alias("_context"), fresh.alias("_f"))
+        .select("conv_id", "example", "reply", "_context", F.length("_f").alias("_chars"), segments(F.col("_f")).alias("_s"))
+        .select("conv_id", "_context", "_chars", F.size("_s").cast("long").alias("_n"), F.struct("example", F.array_join(F.transform("_s", _turn), "").alias("x")).alias("_t"), F.when(F.col("reply").isNotNull(), F.struct("example", unescape(F.col("reply")).alias("x"))).alias("_m"))
         .groupBy("conv_id")
-        .agg(F.sum("_n").alias("n_turns"), F.collect_list("_t").alias("_t"), F.collect_list("_m").alias("_m"), F.sum("_chars").alias("formatted_chars"))
+        .agg(F.sum("_n").alias("n_turns"), F.collect_list("_t").alias("_t"), F.collect_list("_m").alias("_m"), F.sum("_chars").alias("formatted_chars"), F.count("_context").alias("n_examples"), F.coalesce(F.sum("_context"), F.lit(0)).alias("context_chars"))
         .withColumn("_loss", joined(F.col("_m")))
-        .select("conv_id", "n_turns", F.sha2(joined(F.col("_t")), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")
+        .select("conv_id", "n_turns", F.sha2(joined(F.col("_t")), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")
     )
 
 
@@ -155,11 +157,14 @@ _ESC = r"replace(replace({0}, '\', '\b'), '<', '\l')"
 _ROLE = "replace(replace(" + _ESC.format("role") + r", '>', '\g'), chr(10), '\n')"
 ORACLE = rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f as (select *, length('<turn role=' || {_ROLE} || '>' || chr(10) || {_ESC.format("text")} || chr(10) || '</turn>' || chr(10)) as n from c),
+p as (select *, coalesce(sum(n) over (partition by conv_id order by turn nulls last, role, text rows between unbounded preceding and 1 preceding), 0) as past from f)
 select conv_id, count(*)::BIGINT as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::BIGINT as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length('<turn role=' || {_ROLE} || '>' || chr(10) || {_ESC.format("text")} || chr(10) || '</turn>' || chr(10)))::BIGINT as formatted_chars
-from c group by conv_id
+  sum(n)::BIGINT as formatted_chars, count(*) filter (role = 'assistant')::BIGINT as n_examples,
+  coalesce(sum(past + length('<turn role=assistant>') + 1) filter (role = 'assistant'), 0)::BIGINT as context_chars
+from p group by conv_id
 """
