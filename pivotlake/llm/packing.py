@@ -12,7 +12,8 @@ the numbers are looked up in the patterns.
 Tokens: ids depend on a white-space-free chunk alone, because the tokenizer's patterns never
 match across white space, so ids are kept per chunk in a bounded cache and most chunks are
 encoded only once per worker. Chunks of plain Latin-1 letters and marks are merged by the
-vocabulary's ranks directly; all others go through the tokenizer itself.
+vocabulary's ranks directly; all others go through the tokenizer itself. This holds for
+tokenizer files of one make (``_merges_by_rank``); texts go whole through any other tokenizer.
 
 Defined results: null and empty texts are the end id alone; rows that repeat are pieces of
 their own; null ids pass through; an empty table gives an empty table. Other columns are
@@ -50,6 +51,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def _merges_by_rank(spec: dict) -> bool:
+    """Whether a tokenizer file is of the make whose chunks can be merged by rank: composed,
+    lower-cased, split by one pattern into words of bytes that end in a mark."""
+    model, norm, pre = (spec.get(k) or {} for k in ("model", "normalizer", "pre_tokenizer"))
+    kinds = lambda parts: [x["type"] for x in parts]
+    return (
+        (model.get("type"), model.get("end_of_word_suffix"), model.get("continuing_subword_prefix"), bool(model.get("ignore_merges"))) == ("BPE", "</w>", None, False)
+        and kinds(norm.get("normalizers", [])) == ["NFC", "Replace", "Lowercase"]
+        and kinds(pre.get("pretokenizers", [])) == ["Split", "ByteLevel"]
+        and (pre["pretokenizers"][0]["behavior"], pre["pretokenizers"][0]["invert"], pre["pretokenizers"][1]["add_prefix_space"]) == ("Removed", True, False)
+    )
+
+
 class ChunkIds(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes, filled on demand."""
 
@@ -62,6 +76,9 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.by_rank = _merges_by_rank(spec)
+        if not self.by_rank:
+            return
         # the alphabet: printable characters stand for the 256 bytes
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -98,7 +115,7 @@ class ChunkIds(dict):
         return chunk.isascii() or max(chunk) <= "\xff"
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if not self.by_rank or _ODD_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
