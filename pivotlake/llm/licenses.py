@@ -8,8 +8,10 @@ position make an alignment, whose words are then compared and whose mandatory ke
 verified in place. Every occurrence votes; nothing is capped.
 
 Defined results: null texts are empty: no words, null first and last place, empty labels,
-score 0; null ids pass through; repeated rows repeat; an empty table gives an empty table.
-Only the id and text columns are read.
+score 0; null ids pass through; repeated rows repeat; an empty table gives an empty table; a
+text of any length is read whole, and of alignments with equally many votes that are at most
+``DRIFT`` words apart each is verified. A notice that has lost all but one of its rare words is
+not found, however many of its other words stand. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,49 @@ from pivotlake.llm.common import table
 #: Phrases whose places are reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Licence bodies, as their words.
+MIT_BODY = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+documentation files the software to deal in the software without restriction including without limitation the rights to
+use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
+software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the software the software is provided as is without warranty
+of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or
+the use or other dealings in the software"""
+BSD_BODY = """redistribution and use in source and binary forms with or without modification are permitted provided that
+the following conditions are met redistributions of source code must retain the above copyright notice this list of
+conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this
+list of conditions and the following disclaimer in the documentation and or other materials provided with the
+distribution"""
+BSD_ENDORSEMENT = """neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission"""
+ISC_BODY = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+granted provided that the above copyright notice and this permission notice appear in all copies the software is
+provided as is and the author disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness"""
+APACHE_NOTICE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance
+with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by
+applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without
+warranties or conditions of any kind either express or implied see the license for the specific language governing
+permissions and limitations under the license"""
+GPL_NOTICE = """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+public license as published by the free software foundation either version {} of the license or at your option any later
+version"""
+ZLIB_BODY = """this software is provided as is without any express or implied warranty in no event will the authors be held
+liable for any damages arising from the use of this software permission is granted to anyone to use this software for
+any purpose including commercial applications and to alter it and redistribute it freely"""
+
 #: Notice texts: label, words, mandatory key phrase.
 TEMPLATES = (
+    ("mit", MIT_BODY, "merge publish distribute sublicense"),
+    ("bsd", BSD_BODY, "redistributions in binary form must reproduce"),
+    ("bsd-3-clause", BSD_ENDORSEMENT, "endorse or promote products"),
+    ("isc", ISC_BODY, "with or without fee"),
+    ("apache-2.0", APACHE_NOTICE, "apache license version 2 0"),
+    ("gpl-3.0", GPL_NOTICE.format(3), "either version 3 of the license"),
+    ("gpl-2.0", GPL_NOTICE.format(2), "either version 2 of the license"),
+    ("zlib", ZLIB_BODY, "without any express or implied warranty"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge to any person"),
