@@ -508,14 +508,14 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["child", "root"])
 
 
-def contract(edges: DataFrame, keep: Scratch, local: int = LOCAL_LINKS) -> DataFrame | None:
+def contract(edges: DataFrame, keep: Scratch, local: int | None = None) -> DataFrame | None:
     """``(child, root)``, stored, for the components of any graph; None where there is no
     edge. Few links (counted) are joined in one task. For more, every end hooks to its
     smallest smaller neighbour, hooks are compressed, edges are renamed, until none is left."""
     tidy = lambda e: keep(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "edges")
     edges, total = tidy(edges), None
     n = edges.count()
-    if n and n <= local:
+    if n and n <= (LOCAL_LINKS if local is None else local):
         return keep(edges.coalesce(1).mapInArrow(lean(_union_find), "child long, root long"), "roots")
     while not edges.isEmpty():
         roots = compress(edges.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")), keep)

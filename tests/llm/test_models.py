@@ -29,10 +29,15 @@ def brute_components(rows):
             x = root[x]
         return x
 
-    for (i, a), (j, b) in itertools.combinations(sets, 2):
-        if a and b and 100 * len(a & b) >= 80 * len(a | b):
-            x, y = sorted((find(i), find(j)))
-            root[y] = x
+    number = {g: k for k, g in enumerate({g for _, own in sets for g in own})}
+    table = np.zeros((len(sets), len(number)), "f4")
+    for k, (_, own) in enumerate(sets):
+        table[k, [number[g] for g in own]] = 1
+    both, size = table @ table.T, table.sum(1)
+    alike = (both > 0) & (100 * both >= 80 * (size[:, None] + size - both))
+    for i, j in np.argwhere(np.triu(alike, 1)):
+        x, y = sorted((find(sets[i][0]), find(sets[j][0])))
+        root[y] = x
     return {i: find(i) for i, _ in sets}, {i: len(s) for i, s in sets}
 
 
@@ -85,9 +90,10 @@ def test_components_of_any_graph(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    with Scratch() as keep:
-        got = {r["child"]: r["root"] for r in neardup.contract(spark.createDataFrame(edges, "a long, b long"), keep).collect()}
-    assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+    for local in (0, 10_000):  # by rounds of joins, and in one task
+        with Scratch() as keep:
+            got = {r["child"]: r["root"] for r in neardup.contract(spark.createDataFrame(edges, "a long, b long"), keep, local).collect()}
+        assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
 
 
 def test_shingle_sets_are_exact():
@@ -496,8 +502,12 @@ def check_all_pairs(spark, rows):
     return want
 
 
-def test_unlike_documents_that_share_a_passage(spark):
-    """A passage in 300 documents makes nodes larger than a leaf, without a single link."""
+def test_unlike_documents_that_share_a_passage(spark, monkeypatch):
+    """A passage in 300 documents makes nodes larger than a leaf, without a single link. With
+    leaves and blocks this small, nodes branch and are compared in several blocks as well."""
+    monkeypatch.setattr(neardup, "LEAF", 40)
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    monkeypatch.setattr(neardup, "DEPTH", 3)
     rng = random.Random(5)
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(k, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40 + k % 50))) for k in range(300)]
@@ -505,13 +515,19 @@ def test_unlike_documents_that_share_a_passage(spark):
     assert sum(k != c for k, c in want.items()) == 20
 
 
-def test_near_copies_around_and_beside_one_core(spark):
+@pytest.mark.parametrize("leaf", [None, 50])
+def test_near_copies_around_and_beside_one_core(spark, monkeypatch, leaf):
     """2,000 near copies of one text: most are close to it, many not to each other; some only
     to another copy, so that links run through documents outside the core's reach."""
+    if leaf:
+        monkeypatch.setattr(neardup, "LEAF", leaf)
+        monkeypatch.setattr(neardup, "BLOCK", 40)
+        monkeypatch.setattr(neardup, "DEPTH", 3)
+        monkeypatch.setattr(neardup, "LOCAL_LINKS", 0)
     rng = random.Random(8)
     core = [f"c{k}" for k in range(60)]
     rows, last = [], core
-    for k in range(2000):
+    for k in range(600 if leaf else 2000):
         t = list(core if k % 10 else last)
         for _ in range(rng.randrange(0, 5)):
             t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
@@ -519,7 +535,7 @@ def test_near_copies_around_and_beside_one_core(spark):
         rows.append((k, " ".join(t)))
     rng.shuffle(rows)
     want = check_all_pairs(spark, rows)
-    assert 1 < len(set(want.values())) < 1500
+    assert 1 < len(set(want.values())) < len(rows) * 3 / 4
 
 
 def test_near_copies_of_very_different_lengths(spark):
