@@ -35,6 +35,7 @@ def gap_values(positions: DataFrame, n: int, segment: int | None = None) -> Data
     first cell looks up the last one of the run before, one row a run."""
     run = F.floor(F.col("obj_id") / F.lit(segment or SEGMENT)).cast("long").alias("run")
     own = positions.select("ref_id", "obj_id", run, codes.pack_cell(F.col("obj_id"), F.col("pos"), n).alias("cell"))
+    own = own.repartition("ref_id", "run")  # dealt once, for the windows and for the runs' last cells
     inside = Window.partitionBy("ref_id", "run").orderBy("obj_id")
     lagged = own.withColumn("last", F.lag("cell").over(inside))
     if segment is None:
