@@ -45,7 +45,7 @@ from pivotlake.llm.common import lean, materialize, table
 K = 5
 TREES = 8
 #: Rows of a leaf, as near as a power of two comes; vectors of the sample in each, at least.
-LEAF, LEAST = 200, 4
+LEAF, LEAST = 500, 4
 #: Vectors, and numbers in them, that the trees are fitted on at most.
 SAMPLE, SAMPLE_NUMBERS = 65_536, 8_000_000
 #: Sampled queries from which the share is measured, and the recall they must reach.

@@ -304,7 +304,7 @@ def test_forest_recall_and_share_compared(n):
         hits += seen[np.argsort(-cos)[:5]].sum()
         part.append(seen.mean())
     assert hits / (5 * len(part)) >= 0.9
-    assert np.mean(part) < {2_000: 0.5, 51_282: 0.1, 200_000: 0.05}[n]
+    assert np.mean(part) < {2_000: 0.7, 51_282: 0.1, 200_000: 0.05}[n]
 
 
 def test_queue_order_is_that_of_the_margins():
@@ -559,7 +559,7 @@ def test_links_of_a_cell_are_a_forest():
     a = neardup._multipliers()
     sets = [neardup.shingle_set(t) for t in copies(random.Random(4), 150, 50)]
     n = len(sets)
-    rows = pa.RecordBatch.from_pydict({"node": [1] * n, "asked_block": [0] * n, "block": [0] * n, "id": list(range(n)), "asks": [True] * n, "sig": [neardup.signature(x, a).tobytes() for x in sets], "comp": list(range(n)), "set": [x.tobytes() for x in sets]})
+    rows = pa.RecordBatch.from_pydict({"node": [1] * n, "asked_block": [0] * n, "block": [0] * n, "id": list(range(n)), "asks": [True] * n, "brief": [neardup.signature(x, a).astype("u1").tobytes() for x in sets], "comp": list(range(n)), "set": [x.tobytes() for x in sets]})
     links = [(x.as_py(), y.as_py()) for b in neardup._links(iter([rows])) for x, y in zip(b["a"], b["b"], strict=True)]
     root = list(range(n))
     for x, y in links:
