@@ -66,6 +66,11 @@ class Scratch:
     def __exit__(self, *error: object) -> None:
         discard(*self.frames)
 
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete some of the tables at once."""
+        discard(*frames)
+        self.frames = [x for x in self.frames if all(x is not df for df in frames)]
+
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.frames.append(materialize(df, name))
         return self.frames[-1]

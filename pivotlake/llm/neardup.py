@@ -118,7 +118,7 @@ def _multipliers() -> np.ndarray:
 
 
 def signature(own: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Minwise tokens of 16 bits: for every multiplier the smallest product with the set's
+    """Minwise tokens of 16 bits, by which trees branch; comparisons take their low bytes. For every multiplier the smallest product with the set's
     hashes, 32 bits of them, folded."""
     x, low = (own >> np.uint64(32)).astype("u4"), np.full(len(a), 2**32 - 1, "u4")
     room = np.empty((256, len(a)), "u4")
@@ -156,7 +156,7 @@ class Texts:
         return self.docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, sig binary")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """``(id, set)`` for the entities among the stored ``ids``; only their texts become
+        """``(id, set, brief)`` for the entities among the stored ``ids``; only their texts become
         sets again. Rows of one id with different texts give a row each. Entities without
         an id are found by their set's digest."""
         size = self.size
@@ -164,14 +164,17 @@ class Texts:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pivotlake.llm import neardup
 
+            a = _multipliers()
             for b in batches:
-                sets = [neardup.shingle_set(t.as_py(), size).tobytes() for t in b.column(1).cast(pa.large_binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array([_digest(x) for x in sets], pa.binary())], ["id", "set", "digest"])
+                sets = [neardup.shingle_set(t.as_py(), size) for t in b.column(1).cast(pa.large_binary())]
+                raw = [x.tobytes() for x in sets]
+                brief = [neardup.signature(x, a).astype("u1").tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(brief, pa.binary()), pa.array([_digest(x) for x in raw], pa.binary())], ["id", "set", "brief", "digest"])
 
-        made = lambda rows: rows.mapInArrow(lean(run), "id long, set binary, digest binary").where(F.length("set") > 0)
-        out = made(self.docs.join(_light(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).select("id", "set")
+        made = lambda rows: rows.mapInArrow(lean(run), "id long, set binary, brief binary, digest binary").where(F.length("set") > 0)
+        out = made(self.docs.join(_light(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).select("id", "set", "brief")
         if self.nameless:
-            own = made(self.docs.where("doc_id is null")).select(_nameless(F.col("digest")).alias("id"), "set")
+            own = made(self.docs.where("doc_id is null")).select(_nameless(F.col("digest")).alias("id"), "set", "brief")
             out = out.union(own.join(ids, "id", "left_semi").dropDuplicates(["id"]))
         return out
 
@@ -185,9 +188,16 @@ def _nameless(digest: Column) -> Column:
     return F.xxhash64(digest).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
 
 
-def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Equal-length binary values as rows of tokens."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+def _signatures(column: pa.Array | pa.ChunkedArray, kind: str = "u1") -> np.ndarray:
+    """Equal-length binary values as rows of tokens, or of their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _with_brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a byte of each token of ``sig``."""
+    for b in batches:
+        brief = [np.frombuffer(x.as_buffer(), "<u2").astype("u1").tobytes() for x in b.column("sig")]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(brief, pa.binary())], [*b.schema.names, "brief"])
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -209,7 +219,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(node, id, sig)`` to the children's ``(node, id)``; null nodes are the roots."""
     for b in batches:
         if b.num_rows:
-            sig = _signatures(b.column(2))
+            sig = _signatures(b.column(2), "<u2")
             if b.column(0).null_count:
                 child = np.hstack([_children(np.full(len(sig), r, "u8"), sig) for r in range(TREES)])
             else:
@@ -232,16 +242,17 @@ def split_nodes(rows: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     hot = F.broadcast(counts.where(F.col("size") > most))
     rest = rows.join(hot.select("node"), "node", "left_anti").join(counts.where(F.col("size") <= most), "node")
     shared = keep(rows.join(hot, "node").unionByName(rest), "shared")
+    keep.drop(rows, counts)
     return tuple(shared.where(which).select("node", "id") for which in (F.col("size") <= LEAF, F.col("size") > LEAF))
 
 
 def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, sigs)`` to ``(node, mode)``, the commonest token of every coordinate, where
+    """``(node, briefs)`` to ``(node, mode)``, the commonest token of every coordinate, where
     the sample looks like a family."""
     for b in batches:
         nodes, modes = [], []
         for node, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            sig = np.frombuffer(b"".join(own.as_py()), "<u2").reshape(-1, TREES * COORDINATES)
+            sig = np.frombuffer(b"".join(own.as_py()), "u1").reshape(-1, TREES * COORDINATES)
             x = np.sort(sig, axis=0)
             runs, best = np.ones(x.shape[1], "i4"), np.ones(x.shape[1], "i4")
             mode = x[0].copy()
@@ -256,7 +267,7 @@ def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(x, y, sig, other)`` to ``(x, y, agree)``, agree the number of equal tokens."""
+    """``(x, y, brief, other)`` to ``(x, y, agree)``, agree the number of equal tokens."""
     for b in batches:
         if b.num_rows:
             agree = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(1)
@@ -267,15 +278,15 @@ def core_pairs(large: DataFrame, sigs: DataFrame, keep: Scratch) -> DataFrame |
     """The stored ``(a, b)``: every document of a family with the family's core, if their
     signatures agree enough; None where no node is a family."""
     pick = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id")).alias("r"))
-    sample = pick.select("node", F.col("r.id").alias("id")).join(sigs, "id").groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    sample = pick.select("node", F.col("r.id").alias("id")).join(sigs, "id").groupBy("node").agg(F.collect_list("brief").alias("briefs"))
     modes = keep(sample.mapInArrow(lean(_commonest), "node long, mode binary"), "modes")
     if modes.isEmpty():
         return None
-    seen = keep(_of_node(large, modes).select("node", "id").join(sigs, "id"), "family")
-    like = _of_node(seen, modes).select("node", "id", "sig", "mode").mapInArrow(lean(_agreement), "x long, y long, agree long")
+    seen = keep(_of_node(large, modes).select("node", "id").join(sigs.select("id", "brief"), "id"), "family")
+    like = _of_node(seen, modes).select("node", "id", "brief", "mode").mapInArrow(lean(_agreement), "x long, y long, agree long")
     best = like.groupBy(F.col("x").alias("node")).agg(F.max(F.struct("agree", (-F.col("y")).alias("minus"))).alias("r")).select("node", (-F.col("r.minus")).alias("core"))
-    cores = keep(best.join(sigs.toDF("core", "other"), "core"), "cores")
-    both = _of_node(seen, cores).where("id <> core").select("id", "core", "sig", "other")
+    cores = keep(best.join(sigs.select(F.col("id").alias("core"), F.col("brief").alias("other")), "core"), "cores")
+    both = _of_node(seen, cores).where("id <> core").select("id", "core", "brief", "other")
     close = both.mapInArrow(lean(_agreement), "x long, y long, agree long").where(F.col("agree") >= LEAST)
     return keep(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "core-pairs")
 
@@ -284,7 +295,7 @@ def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[DataFr
     """``(node, id)`` of small nodes; ``(node, id, size, n_out, main)`` of large ones that are
     to be compared in blocks; and ``(child, root)`` of the links to cores. One level a turn:
     count nodes, keep shared ones, contract families, branch the large ones again."""
-    sigs = entities.select("id", "sig")
+    sigs = entities.select("id", "sig", "brief")
     rows = sigs.select(F.lit(None).cast("long").alias("node"), "id", "sig").mapInArrow(lean(_branch), "node long, id long")
     small, parted, roots = [], [], None
     for depth in range(1, DEPTH + 1):
@@ -296,6 +307,7 @@ def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[DataFr
         pairs = core_pairs(large, sigs, keep)
         if pairs is not None:
             roots = merge(roots, confirm_links(pairs, texts, keep), keep)
+            keep.drop(pairs)
         own = keep(relabel(large.withColumn("comp", F.col("id")), "comp", roots), "large")
         parts = own.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("m"))
         parts = keep(parts.select("node", "size", (F.col("size") - F.col("m.n")).alias("n_out"), F.col("m.comp").alias("main")).where("n_out > 0"), "parts")
@@ -351,12 +363,12 @@ def _close(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, id, sig, comp)``, sorted, to ``(id, partner, agree)``: each row that has any
+    """``(node, id, brief, comp)``, sorted, to ``(id, partner, agree)``: each row that has any
     close partner in another component, with its closest one of smaller id, if any."""
     for t in _by_key(batches, 1):
         ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
         best, partner, close = np.zeros(len(ids), "i8"), np.full(len(ids), -1, "i8"), np.zeros(len(ids), bool)
-        for i, j, agree in _close(t["node"].to_numpy(), _signatures(t["sig"])):
+        for i, j, agree in _close(t["node"].to_numpy(), _signatures(t["brief"])):
             other = comp[i] != comp[j]
             i, j, agree = i[other], j[other], agree[other]
             close[i] = close[j] = True
@@ -388,10 +400,10 @@ def _cells(t: pa.Table) -> list[np.ndarray]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``CELL`` with ``sig`` and ``comp``, sorted, to the ``CELL`` rows that take part in any
+    """``CELL`` with ``brief`` and ``comp``, sorted, to the ``CELL`` rows that take part in any
     close pair of different components. No pair leaves the cell."""
     for t in _by_key(batches, 3):
-        sig, comp, asks = _signatures(t["sig"]), t["comp"].to_numpy(), t["asks"].to_numpy()
+        sig, comp, asks = _signatures(t["brief"]), t["comp"].to_numpy(), t["asks"].to_numpy()
         marked = np.zeros(t.num_rows, bool)
         for own in _cells(t):
             if (comp[own] != comp[own[0]]).any():
@@ -434,11 +446,11 @@ class CellSets:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``CELL`` with ``sig``, ``comp`` and ``set``, sorted, to confirmed links ``(a, b)`` that
+    """``CELL`` with ``brief``, ``comp`` and ``set``, sorted, to confirmed links ``(a, b)`` that
     join components: one per pair of components at most, and rows whose components a link of
     the cell has joined already are passed over; so links are fewer than rows."""
     for t in _by_key(batches, 3):
-        ids, sig, comp, asks = t["id"].to_numpy(), _signatures(t["sig"]), t["comp"].to_numpy(), t["asks"].to_numpy()
+        ids, sig, comp, asks = t["id"].to_numpy(), _signatures(t["brief"]), t["comp"].to_numpy(), t["asks"].to_numpy()
         sets, a, b = t["set"].combine_chunks(), [], []
         for own in _cells(t):
             cell, root = None, {c: c for c in comp[own].tolist()}
@@ -472,12 +484,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm_links(pairs: DataFrame, texts: Texts, keep: Scratch) -> DataFrame:
-    """The ``(a, b)`` whose full sets are similar enough."""
+    """The stored ``(a, b)`` whose full sets are similar enough. Few pairs go to the sets of one
+    end, so that only those of the other are dealt anew."""
     if pairs.isEmpty():
         return pairs
-    sets = keep(texts.sets(keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")), "sets")
-    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirm), "a long, b long")
+    ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = keep(texts.sets(ids).select("id", "set"), "sets")
+    both = sets.toDF("a", "set_a").join(_light(pairs.select("a", "b")), "a").join(sets.toDF("b", "set_b"), "b")
+    links = keep(both.select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirm), "a long, b long"), "links")
+    keep.drop(ids, sets)
+    return links
 
 
 def compress(forest: DataFrame, keep: Scratch) -> DataFrame:
@@ -560,15 +576,17 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = keep(Texts(docs, size).sketch(), "sketches")
     firsts = rows.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
-    entities = keep(firsts.select("digest", F.coalesce("id", _nameless(F.col("digest"))).alias("id"), "sig"), "entities")
+    firsts = firsts.select("digest", F.coalesce("id", _nameless(F.col("digest"))).alias("id"), "sig")
+    entities = keep(firsts.mapInArrow(lean(_with_brief), "digest binary, id long, sig binary, brief binary"), "entities")
     texts = Texts(docs, size, not entities.where(F.col("id") >= NAMELESS).isEmpty())
     names = keep(rows.select("doc_id", "n", "digest").join(entities.select("digest", "id"), "digest", "left"), "names")
+    keep.drop(rows)
     small, parted, roots = grow_trees(texts, entities, keep)
     # components are told to entities, not to their many places in nodes
-    known = lambda roots: relabel(entities.select("id", "sig", F.col("id").alias("comp")), "comp", roots)
+    known = lambda roots: relabel(entities.select("id", "brief", F.col("id").alias("comp")), "comp", roots)
 
     # the closest partner of smaller id in small nodes
-    within = small.join(known(roots), "id").select("node", "id", "sig", "comp")
+    within = small.join(known(roots), "id").select("node", "id", "brief", "comp")
     near = within.repartition("node").sortWithinPartitions("node", "id").mapInArrow(lean(_partners), "id long, partner long, agree long")
     best = F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", (-F.col("partner")).alias("minus"))))
     chosen = keep(near.groupBy("id").agg(best.alias("best")).select("id", (-F.col("best.minus")).alias("partner")), "partners")
@@ -581,7 +599,7 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     for p in parted:
         cells = cells.union(dealt_cells(p, known(roots).select("id", "comp"), roots))
     key = ("node", "asked_block", "block")
-    close = cells.join(known(roots), "id").select(*key, "id", "asks", "sig", "comp")
+    close = cells.join(known(roots), "id").select(*key, "id", "asks", "brief", "comp")
     marks = keep(close.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_marks), CELL), "marks")
     # rows of one id with several sets are one document
     several = names.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()
@@ -589,7 +607,8 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     links = several.join(firsts, "doc_id").select("a", F.col("id").alias("b"))
     if not marks.isEmpty():
         sets = keep(texts.sets(keep(marks.select("id").distinct(), "ids")), "sets")
-        own = marks.join(known(roots), "id").join(sets, "id").select(*key, "id", "asks", "sig", "comp", "set")
+        told = relabel(sets.withColumn("comp", F.col("id")), "comp", roots)
+        own = told.join(_light(marks), "id").select(*key, "id", "asks", "brief", "comp", "set")
         links = links.union(own.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_links), "a long, b long"))
     roots = merge(roots, links, keep)
     return relabel(names.withColumn("comp", F.col("id")), "comp", roots).select("doc_id", "n", "digest", "comp")
