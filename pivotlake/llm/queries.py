@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pivotlake.llm import annforest, chat, langid, licenses, mixing, neardup, packing, quality, ranker, secrets
+from pivotlake.llm import annforest, chat, collocations, fim, langid, licenses, mixing, neardup, packing, quality, ranker, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": annforest.op8_nearest_neighbours,
         "op9_pack_sequences": packing.op9_pack_sequences,
         "op10_license_scan": licenses.op10_license_scan,
+        "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.ORACLE,
         "op5_secret_scan": secrets.ORACLE,
         "op7_chat_format": chat.ORACLE,
+        "op12_fill_in_middle": fim.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
