@@ -10,6 +10,11 @@ of the nodes above, which are the left parts of a phrase. Ranges are cut anywher
 so a frequent first word is spread like any other; what stands above the first nodes of a range
 is looked up instead. The right parts are the nodes that suffix links lead to, found by a join.
 
+A trie grows by levels: the first pass over the texts counts to two words. Each pass after it
+adds one level, and of that level only the paths whose two parts one word shorter may be
+frequent: a filter of fixed size, made from the merged trie, is broadcast. So rare phrases,
+most of all, are never written.
+
 Words: A-Z in lower case, runs without space and tab, in pieces between ``.,;:!?`` and line
 ends; phrases stay inside pieces. Only nodes with ``least`` occurrences are kept once merged:
 all parts of such a phrase occur as often. Products of counts are decimals of 38 digits.
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +44,9 @@ from pivotlake.functions.shipping import ship
 from pivotlake.llm.common import discard, lean, materialize, table
 
 #: Bytes of text whose words go into one trie.
-BLOCK = 6 << 20
+BLOCK = 16 << 20
+#: Bits of a filter of paths (16 MiB), a power of two.
+FILTER_BITS = 1 << 27
 #: Nodes in a row batch of a serialised trie.
 BATCH = 1 << 16
 _TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
@@ -59,11 +67,35 @@ def slices(text: str, size: int) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of paths one word longer (unsigned, wrapping)."""
+    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _name_hash(names: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in names], "u8")
+
+
+class Filter:
+    """Which paths of a length may be frequent: a bit for every hash. It never says no wrongly,
+    and its size is fixed, so that with more paths than bits it only says yes more often."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h & np.uint64(FILTER_BITS - 1)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
 class Shard:
-    """Texts of a task until they make a block, then its trie."""
+    """Texts of a task until they make a block, then its trie down to ``depth``. With a filter
+    only the lowest level is given, and of it the nodes whose path passes without its last and
+    without its first word."""
 
-    def __init__(self, depth: int, block: int = BLOCK):
-        self.depth, self.block = depth, block
+    def __init__(self, depth: int, block: int = BLOCK, frequent: Filter | None = None):
+        self.depth, self.block, self.frequent = depth, block, frequent
         self.clear()
 
     def clear(self) -> None:
@@ -75,8 +107,7 @@ class Shard:
             own = known + _TOKEN.findall(data)
             # language, number of tokens, and how many of them the slice before has counted
             self.parts.append((lang, len(own) + 1, len(known)))
-            self.tokens += own
-            self.tokens.append(b"\n")
+            self.tokens.append(pa.array([*own, b"\n"], pa.binary()))
             self.bytes += len(data)
             known = own[len(own) - min(len(own), self.depth - 1) :]
             if self.bytes >= self.block:
@@ -86,32 +117,44 @@ class Shard:
         """The block's trie, level by level, each sorted by parent and word."""
         if not self.parts:
             return
-        coded = pa.array(self.tokens, pa.binary()).dictionary_encode()
-        names = coded.dictionary
-        word = coded.indices.to_numpy(zero_copy_only=False).astype("i8")
-        word[np.isin(word, pc.index_in(pa.array(_ENDS, pa.binary()), names).drop_null().to_numpy(zero_copy_only=False))] = -1
+        coded = pa.chunked_array(self.tokens).combine_chunks().dictionary_encode()
         langs, size, known = zip(*self.parts, strict=True)
+        self.clear()
+        order = pc.array_sort_indices(coded.dictionary)
+        names, rank = coded.dictionary.take(order), np.empty(len(order), "i8")
+        rank[order.to_numpy()] = np.arange(len(order))
+        rank[pc.is_in(coded.dictionary, pa.array(_ENDS, pa.binary())).to_numpy(zero_copy_only=False)] = -1
+        word = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        del coded
         roots = pa.array(langs, pa.string()).dictionary_encode()
         size, known = np.array(size), np.array(known)
         place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         fresh = place >= np.repeat(known, size)
-        self.clear()
         node = np.repeat(roots.indices.to_numpy(zero_copy_only=False).astype("i8"), size)
         lang = np.arange(len(roots.dictionary))
-        counted = fresh & (word >= 0)
-        yield from _rows(roots.dictionary, None, 0, np.bincount(node, counted, len(lang)).astype("i8"))
+        if not self.frequent:
+            yield from _rows(roots.dictionary, None, 0, np.bincount(node, fresh & (word >= 0), len(lang)).astype("i8"))
+        else:
+            word_hash, h = _name_hash(names.to_pylist()), _name_hash([x.encode() for x in roots.dictionary.to_pylist()])
         phrase, start, n_words = None, np.arange(len(word)), max(len(names), 1)
         for depth in range(1, self.depth + 1):
             end = start + depth - 1
             ok = end < len(word)
             ok[ok] = word[end[ok]] >= 0
+            if self.frequent and depth == self.depth:
+                passed = np.zeros(len(word) + 1, bool)
+                passed[start] = self.frequent(h)[node]
+                ok &= passed[start] & passed[start + 1]
             start, end, node = start[ok], end[ok], node[ok]
             key, node = np.unique(node * n_words + word[end], return_inverse=True)
-            above, last = key // n_words, pa.array(key % n_words)
-            own = names.take(last).cast(pa.string())
+            above, last = key // n_words, key % n_words
+            if self.frequent:
+                h = _mix(h[above], word_hash[last])
+            own = names.take(pa.array(last)).cast(pa.string())
             phrase = own if phrase is None else pc.binary_join_element_wise(phrase.take(pa.array(above)), own, " ")
             lang = lang[above]
-            yield from _rows(roots.dictionary.take(pa.array(lang)), phrase, depth, np.bincount(node, fresh[end], len(key)).astype("i8"))
+            if not self.frequent or depth == self.depth:
+                yield from _rows(roots.dictionary.take(pa.array(lang)), phrase, depth, np.bincount(node, fresh[end], len(key)).astype("i8"))
 
 
 def _rows(lang: pa.Array, phrase: pa.Array | None, words: int, f: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -122,13 +165,14 @@ def _rows(lang: pa.Array, phrase: pa.Array | None, words: int, f: np.ndarray) ->
     yield from t.to_batches(max_chunksize=BATCH)
 
 
-def count_tries(docs: DataFrame, depth: int = 3, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
-    """``(lang, phrase, words, f)``: the nodes of all tasks' tries. A phrase stands once a trie;
-    its root has no words and counts all."""
+def count_tries(docs: DataFrame, depth: int = 2, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, frequent: Filter | None = None) -> DataFrame:
+    """``(lang, phrase, words, f)``: the nodes of all tasks' tries (of their lowest level, with a
+    filter). A phrase stands once a trie; its root has no words and counts all."""
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(depth, block)
+        shard = Shard(depth, block, shared.value)
         for b in batches:
             for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 yield from shard.add(lang, text)
@@ -137,9 +181,18 @@ def count_tries(docs: DataFrame, depth: int = 3, text_col: str = "text", lang_co
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(lean(run), _NODE)
 
 
+def _path_slot(lang: str, phrase: str) -> int:
+    """The bit of a path in a filter."""
+    h = _name_hash([lang.encode()])
+    for w in _name_hash(phrase.encode().split(b" ")):
+        h = _mix(h, w)
+    return int(h[0] & np.uint64(FILTER_BITS - 1))
+
+
 def walk(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Sorted nodes of many tries to merged ones ``(lang, phrase, words, f, left)``: ``left`` has
-    the counts of the nodes above from the first word on, null where they are not in sight."""
+    """Sorted nodes of many tries to merged ones ``(lang, phrase, words, f, left, slot)``:
+    ``left`` has the counts of the nodes above from the first word on, null where they are not
+    in sight, ``slot`` the bit of a path of full depth."""
     above: list[tuple[str, str, int]] = []  # the last node seen of each depth
 
     def merged() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -166,20 +219,31 @@ def walk(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[
 
     for b, f in merged():
         keep = np.flatnonzero((f >= least) | (b.column(2).to_numpy() == 0))
-        own, out = b.take(pa.array(keep)), []
+        own, out, slot = b.take(pa.array(keep)), [], []
         for lang, phrase, words, n in zip(*(own.column(k).to_pylist() for k in range(3)), f[keep].tolist(), strict=True):
             del above[max(words - 1, 0) :]
             above += [("", "", -1)] * (max(words - 1, 0) - len(above))
             out.append([a[2] if a[2] >= 0 and a[0] == lang and phrase.startswith(a[1] + " ") else None for a in above])
+            slot.append(_path_slot(lang, phrase) if words == depth else None)
             if words:
                 above.append((lang, phrase, n))
-        yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(f[keep]), pa.array(out, pa.list_(pa.int64()))], ["lang", "phrase", "words", "f", "left"])
+        yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(f[keep]), pa.array(out, pa.list_(pa.int64())), pa.array(slot, pa.int64())], ["lang", "phrase", "words", "f", "left", "slot"])
 
 
-def merge_tries(nodes: DataFrame, depth: int = 3, least: int = 10) -> DataFrame:
-    """``(lang, phrase, words, f, left)`` from serialised tries, by ranges of phrases."""
+def merge_tries(nodes: DataFrame, depth: int = 2, least: int = 10) -> DataFrame:
+    """``(lang, phrase, words, f, left, slot)`` from serialised tries, by ranges of phrases."""
     runs = nodes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return runs.mapInArrow(lean(lambda batches: walk(batches, depth, least)), f"{_NODE}, left array<long>")
+    return runs.mapInArrow(lean(lambda batches: walk(batches, depth, least)), f"{_NODE}, left array<long>, slot long")
+
+
+def frequent_paths(trie: DataFrame) -> Filter:
+    """The filter of the merged trie's lowest level; at most ``FILTER_BITS / 64`` rows come to
+    the driver."""
+    place, bit = F.shiftright("slot", 6), F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = trie.where("slot is not null").groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, "i8")
+    words[rows["place"].to_numpy("i8")] = rows["bits"].to_numpy("i8")
+    return Filter(words.view("u8"))
 
 
 def _first(phrase: Column, k: Column) -> Column:
@@ -219,9 +283,14 @@ def drop_covered(scored: DataFrame, depth: int = 3, share: int = 50) -> DataFram
 def collocations(docs: DataFrame, depth: int = 3, least: int = 10, share: int = 50, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """``(lang, phrase, words, a, l, r, n, score)`` of all phrases that stay. The tries and the
     merged one are written to the shared folder; the merged one stays for the returned frame."""
-    nodes = materialize(count_tries(docs, depth, text_col, lang_col, block), "trie-nodes")
-    trie = materialize(merge_tries(nodes, depth, least), "trie")
+    grow = lambda d, frequent=None: materialize(count_tries(docs, d, text_col, lang_col, block, frequent), f"trie-nodes-{d}")
+    nodes = grow(2)
+    trie = materialize(merge_tries(nodes, 2, least), "trie-2")
     discard(nodes)
+    for d in range(3, depth + 1):
+        nodes, above = grow(d, frequent_paths(trie)), trie
+        trie = materialize(merge_tries(nodes.unionByName(above.select(*nodes.columns)), d, least), f"trie-{d}")
+        discard(nodes, above)
     total = trie.where("words = 0").select(F.col("lang").alias("_l"), F.col("f").alias("n"))
     return drop_covered(score_cuts(trie), depth, share).join(total, F.col("lang") == F.col("_l")).drop("_l")
 
