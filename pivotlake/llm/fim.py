@@ -128,7 +128,7 @@ def cut_text(automaton: Automaton, text: str, h: tuple[int, int], chunk: int = C
 
 
 _CUTS = "n long, marked boolean, a long, b long"
-_PLACES = "n long, marked boolean, c1 long, e1 int, u1 long, c2 long, e2 int, u2 long"
+_PLACES = "n long, marked boolean, c1 long, e1 long, u1 long, c2 long, e2 long, u2 long"
 
 
 def _cut_here(rows: DataFrame, marks: tuple[str, ...], chunk: int) -> DataFrame:
@@ -159,9 +159,9 @@ def _cut_giants(rows: DataFrame, marks: tuple[str, ...], chunk: int) -> tuple[Da
         names = _PLACES.replace(",", "").split()[::2]
         return pa.table({"id": t["id"][:1], "key": t["key"][:1], **{name: [x] for name, x in zip(names, (total, found, *one, *two), strict=True)}})
 
-    # repeated rows are scanned once
-    parts = rows.select("id", "key", "h", "text").dropDuplicates(["id", "key"]).select("id", "key", "h", F.posexplode(cut_up).alias("k", "part"))
+    parts = rows.select("id", "key", "h", F.posexplode(cut_up).alias("k", "part"))
     seen = parts.repartition(F.col("key"), F.col("k")).withColumn("_s", scan("part")).select("id", "key", "h", "k", "_s.*")
+    seen = seen.dropDuplicates(["id", "key", "k"])  # of repeated rows
     kind = rows.schema["id"].dataType.simpleString()
     found = materialize(seen.groupBy("id", "key").applyInArrow(resolve, f"id {kind}, key long, {_PLACES}"), "fim-places")
     few = F.broadcast(found) if found.count() <= BROADCAST_CUTS else found
