@@ -47,6 +47,8 @@ from pivotlake.llm.common import discard, lean, materialize, table
 BLOCK = 16 << 20
 #: Bits of a filter of paths (16 MiB), a power of two.
 FILTER_BITS = 1 << 27
+#: Bits of it that one task makes.
+FILTER_PART = 1 << 20
 #: Nodes in a row batch of a serialised trie.
 BATCH = 1 << 16
 _TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
@@ -237,13 +239,20 @@ def merge_tries(nodes: DataFrame, depth: int = 2, least: int = 10) -> DataFrame:
 
 
 def frequent_paths(trie: DataFrame) -> Filter:
-    """The filter of the merged trie's lowest level; at most ``FILTER_BITS / 64`` rows come to
-    the driver."""
-    place, bit = F.shiftright("slot", 6), F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    rows = trie.where("slot is not null").groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, "i8")
-    words[rows["place"].to_numpy("i8")] = rows["bits"].to_numpy("i8")
-    return Filter(words.view("u8"))
+    """The filter of the merged trie's lowest level, made in parts; ``FILTER_BITS / 8`` bytes come
+    to the driver at most."""
+
+    def part(t: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_PART, "u1")
+        bits[t["slot"].to_numpy() % FILTER_PART] = 1
+        return pa.table({"part": [t["slot"][0].as_py() // FILTER_PART], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slots = trie.where("slot is not null").select("slot").distinct()
+    rows = slots.groupBy(F.shiftright("slot", FILTER_PART.bit_length() - 1)).applyInArrow(part, "part long, bits binary")
+    words = np.zeros((FILTER_BITS // FILTER_PART, FILTER_PART // 64), "<u8")
+    for r in rows.toLocalIterator():
+        words[r["part"]] = np.frombuffer(r["bits"], "<u8")
+    return Filter(words.ravel())
 
 
 def _first(phrase: Column, k: Column) -> Column:
