@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pivotlake.llm import annforest, chat, collocations, fim, langid, licenses, mixing, neardup, packing, quality, ranker, secrets
+from pivotlake.llm import annforest, chat, collocations, fim, langid, licenses, mixing, neardup, packing, pii, quality, ranker, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": annforest.op8_nearest_neighbours,
         "op9_pack_sequences": packing.op9_pack_sequences,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_personal_data": pii.op11_personal_data,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
         "op13_collocations": collocations.op13_collocations,
     }
