@@ -39,8 +39,8 @@ def headline(spark: SparkSession, sf_dir: str) -> dict:
         "permutation_topk": lambda: search.permutation_topk(s, K),
         "footrule_topk_points": lambda: registry.footrule_topk_points(spark, sf_dir),
         "exact_topk_l2": lambda: search.exact_topk(s, K_EXACT, "l2"),
-        "delta_pos_size": lambda: codecs.delta_sizes(positions(), N_PIVOTS, "pos"),
-        "delta_gap_size": lambda: codecs.delta_sizes(positions(), N_PIVOTS, "gap"),
+        "delta_pos_size": lambda: codecs.delta_sizes_of(index.build_index(s), N_PIVOTS, "pos"),
+        "delta_gap_size": lambda: codecs.delta_sizes_of(index.build_index(s), N_PIVOTS, "gap"),
         "s9_words_pos": lambda: codecs.s9_sizes(codecs.s9_encode(positions(), N_PIVOTS, "pos")),
     }
 

@@ -7,6 +7,9 @@ the bulk form by itself. The forms agree row by row:
 - long: join of positions on the pivot, sum, window; all of it visible SQL;
 - array: scores inside the row, no shuffle before the answers;
 - bulk: NumPy over Arrow batches, the fast one; queries go in chunks of bounded size.
+
+Queries beyond the size of a broadcast meet the objects in a grid of cells (``grid``), each of
+which keeps K rows a query; no form makes a Cartesian product then.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from pivotlake.functions import distances
 from pivotlake.functions.shipping import ship
+from pivotlake.operators import grid
+from pivotlake.operators.grid import Best
 from pivotlake.operators.permutations import rank_arrays, rank_long
-from pivotlake.operators.vectors import VectorSet, held, pairwise
+from pivotlake.operators.vectors import BROADCAST_NUMBERS, VectorSet, held, pairwise
 
 ANSWER = "q_id long, rk long, obj_id long, score long"
 #: Numbers of query positions that one broadcast of the bulk form holds at most.
@@ -34,8 +39,15 @@ def smallest(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("q_id", F.col("rk").cast("long").alias("rk"), "obj_id", score)
 
 
+def _side(rows: DataFrame, key: str, values: str, name: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(values).alias(name))
+
+
 def exact_topk(vectors: VectorSet, k: int = 100, metric: str = "l2") -> DataFrame:
     """Sequential scan of the objects against all queries."""
+    if vectors.measures["queries_numbers"] > BROADCAST_NUMBERS:
+        found = grid.nearest(_side(vectors.objects, "obj_id", "v", "x"), _side(vectors.queries, "q_id", "qv", "y"), grid.blocks(vectors.objects_numbers), grid.blocks(vectors.measures["queries_numbers"]), k, metric, "float" if metric == "l2_single" else "double")
+        return smallest(found.withColumnRenamed("score", "dist"), k, "dist")
     found = pairwise(vectors.objects, vectors.queries, vectors.measures["queries_numbers"], "v", "qv", metric, "dist")
     return smallest(found, k, "dist")
 
@@ -66,8 +78,21 @@ def score_index(index: DataFrame, asked: DataFrame, numbers: int) -> DataFrame:
     return index.select("obj_id", "pos").crossJoin(held(asked, numbers)).select("q_id", "obj_id", distances.footrule("pos", "qpos").alias("score"))
 
 
+def _ranked_topk(index: DataFrame, values: str, asked: DataFrame, numbers: int, k: int, kernel: str) -> DataFrame:
+    """The grid's answers from an index of position or permutation arrays."""
+    many = index.agg(F.sum(F.size(values).cast("long"))).first()[0] or 0
+    return smallest(grid.nearest(_side(index, "obj_id", values, "x"), _side(asked, "q_id", "qpos", "y"), grid.blocks(many), grid.blocks(numbers), k, kernel, "long"), k)
+
+
 def footrule_topk_array(vectors: VectorSet, k: int = 10) -> DataFrame:
-    return smallest(array_scores(vectors), k)
+    return index_topk(rank_arrays(vectors), *ranked_queries(vectors), k)
+
+
+def index_topk(index: DataFrame, asked: DataFrame, numbers: int, k: int = 10) -> DataFrame:
+    """Answers from an index ``(obj_id, pos)``."""
+    if numbers > BROADCAST_NUMBERS:
+        return _ranked_topk(index, "pos", asked, numbers, k, "footrule")
+    return smallest(score_index(index, asked, numbers), k)
 
 
 def score_permutations(index: DataFrame, asked: DataFrame, numbers: int) -> DataFrame:
@@ -78,7 +103,10 @@ def score_permutations(index: DataFrame, asked: DataFrame, numbers: int) -> Data
 
 
 def permutation_topk(vectors: VectorSet, k: int = 10) -> DataFrame:
-    return smallest(score_permutations(rank_arrays(vectors), *ranked_queries(vectors)), k)
+    index, (asked, numbers) = rank_arrays(vectors), ranked_queries(vectors)
+    if numbers > BROADCAST_NUMBERS:
+        return _ranked_topk(index, "perm", asked, numbers, k, "rank_footrule")
+    return smallest(score_permutations(index, asked, numbers), k)
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -98,33 +126,6 @@ def positions(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-class Best:
-    """The k smallest (score, id) of many queries, from blocks of scores."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.edge = k, np.full(n, np.iinfo("i8").max)
-        self.q, self.s, self.i = (np.empty(0, "i8") for _ in range(3))
-        self.held = 0
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores[row, query]``; what is over a query's k-th smallest so far goes at once."""
-        row, q = np.nonzero(scores <= self.edge)
-        self.q, self.s, self.i = np.r_[self.q, q], np.r_[self.s, scores[row, q]], np.r_[self.i, ids[row]]
-        if len(self.q) > 4 * max(self.held, 4096):
-            self.settle()
-
-    def settle(self) -> None:
-        order = np.lexsort((self.i, self.s, self.q))
-        q = self.q[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, "i8")
-        size = np.diff(np.r_[start, len(q)])
-        keep = np.arange(len(q)) - np.repeat(start, size) < self.k
-        full = size >= self.k
-        self.edge[q[start[full]]] = self.s[order][start[full] + self.k - 1]
-        self.q, self.s, self.i = q[keep], self.s[order][keep], self.i[order][keep]
-        self.held = len(self.q)
-
-
 def footrule_topk_bulk(vectors: VectorSet, k: int = 10) -> DataFrame:
     """Queries are collected in chunks (the stated query set, bounded by ``BULK_NUMBERS``);
     objects are scanned once per chunk and never shuffled. Pivots over that bound are left to
@@ -192,6 +193,15 @@ def remove_distance(answers: DataFrame, unwanted: DataFrame) -> DataFrame:
     return answers.join(gone, ["q_id", "obj_id"], "left_anti").withColumn("rk", F.row_number().over(order).cast("long")).select("q_id", "rk", "obj_id", "dist")
 
 
+def cursor(answers: DataFrame) -> DataFrame:
+    """Every answer with what a cursor on it sees: the objects before and after it (null at the
+    ends), those of the first and last rank, and how many answers there are."""
+    order = Window.partitionBy("q_id").orderBy("rk")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = {"prior": F.lag("obj_id").over(order), "next": F.lead("obj_id").over(order), "first": F.first("obj_id").over(whole), "last": F.last("obj_id").over(whole), "count": F.count("*").over(whole)}
+    return answers.select("q_id", "rk", "obj_id", *[c.alias(k) for k, c in seen.items()])
+
+
 def padded(answers: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Always k rows a query: missing ranks hold object 0 and no score."""
     slots = queries.select("q_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("rk"))

@@ -1,9 +1,12 @@
 """Vector tables: objects ``(obj_id, v)``, pivots ``(ref_id, rv)``, queries ``(q_id, qv)``.
 
-Object ids are dense, from 0. Pivots and queries meet every object, so they are the sides to
-hold: they are broadcast while their measured size allows, and joined without a hint beyond.
-They are measured once for a set.
-Vectors that are null give null distances; they rank last.
+Pivots and queries meet every object, so they are the sides to hold: they are broadcast while
+their measured size allows; beyond it both sides go into a grid of cells. They are measured once
+for a set.
+
+A row takes part if its vector is not null, is as long as the set's vectors are (as that of the
+first pivot that is not null) and holds finite numbers only; ``VectorSet.of`` leaves the others
+out, of all three parts, so that no form of a search meets them. Object ids may have holes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pivotlake.functions import distances
+from pivotlake.operators import grid
 
 #: Numbers in a broadcast side at most (8 bytes each).
 BROADCAST_NUMBERS = 8_000_000
@@ -26,6 +30,19 @@ class VectorSet:
     pivots: DataFrame
     queries: DataFrame
 
+    @staticmethod
+    def of(objects: DataFrame, pivots: DataFrame, queries: DataFrame) -> VectorSet:
+        """A set of the rows that can take part."""
+        first = pivots.where("rv is not null").orderBy("ref_id").select(F.size("rv").alias("n")).first()
+        n = first["n"] if first else 0
+        return VectorSet(usable(objects, "v", n), usable(pivots, "rv", n), usable(queries, "qv", n))
+
+    @cached_property
+    def objects_numbers(self) -> int:
+        """The numbers in the objects' vectors, all as long as the queries' or pivots'."""
+        m = self.measures
+        return self.objects.count() * max(m[f"{k}_numbers"] // max(m[k], 1) for k in ("queries", "pivots"))
+
     @cached_property
     def measures(self) -> dict[str, int]:
         """Rows of pivots and queries, and the numbers in their vectors, by one job."""
@@ -40,7 +57,12 @@ def split_embeddings(spark: SparkSession, sf_dir: str, n_pivots: int = 16, every
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = F.col("embedding").cast("array<double>")
     part = lambda rows, key, name: rows.select(F.col("vec_id").alias(key), v.alias(name))
-    return VectorSet(spread(part(e, "obj_id", "v")), part(e.where(F.col("vec_id") < n_pivots), "ref_id", "rv"), part(e.where(F.col("vec_id") % every == 0), "q_id", "qv"))
+    return VectorSet.of(spread(part(e, "obj_id", "v")), part(e.where(F.col("vec_id") < n_pivots), "ref_id", "rv"), part(e.where(F.col("vec_id") % every == 0), "q_id", "qv"))
+
+
+def usable(rows: DataFrame, vector: str, n: int) -> DataFrame:
+    """The rows whose vector has ``n`` numbers."""
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) == n) & ~F.exists(vector, lambda x: ~F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -69,7 +91,12 @@ def held(side: DataFrame, numbers: int) -> DataFrame:
 
 
 def pairwise(rows: DataFrame, pivots: DataFrame, numbers: int, vector: str = "v", pivot: str = "rv", metric: str | None = None, name: str = "d2") -> DataFrame:
-    """Every row with every pivot and their distance: squared Euclidean, or a named metric.
-    ``numbers`` tells how many the pivots' vectors hold."""
+    """Every row ``(key, vector)`` with every pivot ``(key, vector)`` and their distance: squared
+    Euclidean, or a named metric. ``numbers`` tells how many the pivots' vectors hold."""
+    if numbers > BROADCAST_NUMBERS:
+        (key,), (other,) = ([c for c in d.columns if c != v] for d, v in ((rows, vector), (pivots, pivot)))
+        many = rows.agg(F.sum(F.size(vector).cast("long"))).first()[0] or 0
+        found = grid.all_pairs(rows.select(F.col(key).alias("id"), F.col(vector).alias("x")), pivots.select(F.col(other).alias("id"), F.col(pivot).alias("y")), grid.blocks(many), grid.blocks(numbers), metric or "squared_l2", "float" if metric == "l2_single" else "double")
+        return found.toDF(key, other, name)
     d = distances.METRICS[metric](vector, pivot) if metric else distances.squared_l2(vector, pivot)
     return rows.crossJoin(held(pivots, numbers)).withColumn(name, d).drop(vector, pivot)

@@ -8,15 +8,16 @@ index, the first 16.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pivotlake.functions import codes
 from pivotlake.functions.shared import fresh_path
-from pivotlake.operators import codecs, index, permutations, search, vectors
+from pivotlake.operators import codecs, growing, index, permutations, search, vectors
 from pivotlake.operators.vectors import VectorSet, split_embeddings
-from pivotlake.sources import sections
+from pivotlake.sources import formats, sections
 
 N_PIVOTS, EVERY, K, K_EXACT = 16, 100, 10, 100
 
@@ -35,7 +36,7 @@ def _points(spark: SparkSession, sf_dir: str) -> VectorSet:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     v = F.array(F.floor(F.col("o_totalprice") / 1000), F.dayofyear("o_orderdate"), F.col("o_custkey") % 256).cast("array<double>")
     part = lambda rows, key, name: rows.select(F.col("o_orderkey").alias(key), v.alias(name))
-    return VectorSet(vectors.spread(part(o, "obj_id", "v")), part(o.where(F.col("o_orderkey") < N_PIVOTS), "ref_id", "rv"), part(o.where(F.col("o_orderkey") % EVERY == 0), "q_id", "qv"))
+    return VectorSet.of(vectors.spread(part(o, "obj_id", "v")), part(o.where(F.col("o_orderkey") < N_PIVOTS), "ref_id", "rv"), part(o.where(F.col("o_orderkey") % EVERY == 0), "q_id", "qv"))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +165,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.smallest(search.score_index(_stored(spark, sf_dir), *search.ranked_queries(_set(spark, sf_dir))), K)
+    return search.index_topk(_stored(spark, sf_dir), *search.ranked_queries(_set(spark, sf_dir)), K)
 
 
 def stored_perm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +197,7 @@ def _named_total(sizes: DataFrame) -> DataFrame:
 
 def _bucket_size(form: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _named_total(codecs.delta_sizes(_positions(spark, sf_dir), N_PIVOTS, form))
+        return _named_total(codecs.delta_sizes_of(index.build_index(_set(spark, sf_dir)), N_PIVOTS, form))
 
     return query
 
@@ -210,7 +211,7 @@ def _roundtrip(coder: str, form: str) -> Callable[[SparkSession, str], DataFrame
     encode, decode = (getattr(codecs, f"{coder}_{way}") for way in ("encode", "decode"))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return decode(encode(_positions(spark, sf_dir), N_PIVOTS, form, 128), N_PIVOTS, form, 128)
+        return decode(encode(_positions(spark, sf_dir), N_PIVOTS, form, 128), N_PIVOTS, form)
 
     return query
 
@@ -241,6 +242,34 @@ def s9_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("ref_id", value(F.col("nvals") - 1).alias("last"), value(F.col("nvals")).alias("behind"))
 
 
+def _delta_access(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Look-ups of all queries' own positions in coded rows."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = _set(spark, sf_dir)
+        wanted = s.queries.select(F.col("q_id").alias("obj_id")).crossJoin(F.broadcast(s.pivots.select("ref_id")))
+        return codecs.delta_access(codecs.delta_encode(_positions(spark, sf_dir), N_PIVOTS, form, 128), wanted, N_PIVOTS, form, 128)
+
+    return query
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of three batches, by thirds of the ids."""
+    positions, path = _positions(spark, sf_dir), fresh_path(spark, "growing")
+    end = positions.agg(F.max("obj_id")).first()[0] or 0
+    for k in range(3):
+        growing.append(positions.where((F.col("obj_id") * 3 > end * k if k else F.lit(True)) & (F.col("obj_id") * 3 <= end * (k + 1))), path, N_PIVOTS)
+    return growing.read(spark, path)
+
+
+def delta_append_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir).groupBy("ref_id").agg(F.sum("nbits").alias("bits"), F.sum("nvals").alias("objects"), F.max("end").alias("last_cell"))
+
+
+def delta_append_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.delta_decode(_grown(spark, sf_dir), N_PIVOTS, "gap")
+
+
 def index_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = {f"delta_{form}": _bucket_size(form)(spark, sf_dir).where("ref_id = -1").select("bits") for form in ("gap", "pos")}
     total |= {f"s9_{form}": _s9_words(form)(spark, sf_dir).where("ref_id = -1").select((32 * F.col("words")).alias("bits")) for form in ("gap", "pos")}
@@ -255,41 +284,85 @@ def index_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECTED = {"n_objects": 100, "n_refs": 8, "n_queries": 2}
 
 
+def _written_sections(spark: SparkSession, sf_dir: str, layout: str) -> str:
+    """The embeddings as sectioned text in the shared folder, in files dealt by ranges and named
+    in order; the path."""
+    s = _set(spark, sf_dir)
+    parts = {"refs": (s.pivots, "ref_id", "rv"), "objects": (s.objects, "obj_id", "v"), "queries": (s.queries, "q_id", "qv")}
+    order = [*sections.LAYOUTS[layout], "queries"]
+    p = index.parameters(s).first()
+    size = {"refs": p["n"], "objects": p["nn"], "queries": p["num_q"]}
+    lines = spark.createDataFrame([(-1, 0, " ".join(map(str, [p["dim"], *(size[k] for k in order)])))], "part int, id long, line string")
+    for k, name in enumerate(order):
+        d, key, v = parts[name]
+        lines = lines.union(d.select(F.lit(k), F.col(key), _joined(v)))
+    path = fresh_path(spark, f"sections-{layout}")
+    lines.orderBy("part", "id").select("line").write.text(path)
+    return path
+
+
+def _totals(part: DataFrame, kind: str, key: str, v: str) -> DataFrame:
+    return part.select(F.lit(kind).alias("part"), F.col(key).alias("id"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+
+
 def _sections(layout: str, **options) -> Callable[[SparkSession, str], DataFrame]:
-    """Writes the embeddings as sectioned text into the shared folder, in files dealt by ranges
-    and named in order, and reads it back."""
+    """Sectioned text, written and read back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = _set(spark, sf_dir)
-        parts = {"refs": (s.pivots, "ref_id", "rv"), "objects": (s.objects, "obj_id", "v"), "queries": (s.queries, "q_id", "qv")}
-        order = [*sections.LAYOUTS[layout], "queries"]
-        p = index.parameters(s).first()
-        size = {"refs": p["n"], "objects": p["nn"], "queries": p["num_q"]}
-        lines = spark.createDataFrame([(-1, 0, " ".join(map(str, [p["dim"], *(size[k] for k in order)])))], "part int, id long, line string")
-        for k, name in enumerate(order):
-            d, key, v = parts[name]
-            lines = lines.union(d.select(F.lit(k), F.col(key), _joined(v)))
-        path = fresh_path(spark, f"sections-{layout}")
-        lines.orderBy("part", "id").select("line").write.text(path)
-        back = sections.read_sections(spark, path, layout, **options)
-        sums = lambda d, kind, key, v: d.select(F.lit(kind).alias("part"), F.col(key).alias("id"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
-        return sums(back.queries, "query", "q_id", "qv").union(sums(back.pivots, "pivot", "ref_id", "rv")).union(sums(back.objects, "object", "obj_id", "v"))
+        back = sections.read_sections(spark, _written_sections(spark, sf_dir, layout), layout, **options)
+        return _totals(back.queries, "query", "q_id", "qv").union(_totals(back.pivots, "pivot", "ref_id", "rv")).union(_totals(back.objects, "object", "obj_id", "v"))
 
     return query
 
 
+def _section_source(layout: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """The same through the data source, by ranges of 16 KiB."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _written_sections(spark, sf_dir, layout)
+        read = lambda name: formats.read_section(spark, path, layout, name, block=1 << 14, **options)
+        return reduce(DataFrame.union, [_totals(read(name), kind, "id", "v") for name, kind in (("queries", "query"), ("refs", "pivot"), ("objects", "object"))])
+
+    return query
+
+
+def answer_lines_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer lines through the sink and back; lines are numbered in the order of the files."""
+    path = fresh_path(spark, "lines")
+    formats.write_answer_lines(answer_lines(spark, sf_dir), path)
+    back = spark.read.format("answer_lines").option("path", path).load()
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = back.groupBy("file").agg(F.count("*").alias("c")).select("file", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("start"))
+    return back.join(before, "file").select((F.col("start") + F.col("n")).alias("line_no"), F.array_join(F.transform("ids", lambda x: F.concat(x.cast("string"), F.lit(" "))), "").alias("line"))
+
+
+def answer_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.cursor(exact_topk_int(spark, sf_dir))
+
+
+def index_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was observed while an index was written; times are not compared."""
+    path = fresh_path(spark, "measured")
+    index.write_measured(index.build_index(_set(spark, sf_dir)), path)
+    return index.read_measures(spark, path).drop("build_ms")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, answer_lookup, answer_remove, stored_index_topk, stored_perm_topk, perm_access, gap_values, gap_restore, code_lengths, delta_bits, s9_past_end, index_size_report, index_parameters)
+    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, answer_lookup, answer_remove, stored_index_topk, stored_perm_topk, perm_access, gap_values, gap_restore, code_lengths, delta_bits, s9_past_end, index_size_report, index_parameters, delta_append_size, delta_append_positions, answer_lines_written, answer_cursor, index_measures)
     out = {f.__name__: f for f in plain}
     for form in ("gap", "pos"):
         out[f"delta_{form}_size"] = _bucket_size(form)
         out[f"s9_words_{form}"] = _s9_words(form)
+        out[f"delta_access_{form}"] = _delta_access(form)
         for coder in ("delta", "s9"):
             out[f"{coder}_roundtrip_{form}"] = _roundtrip(coder, form)
             out[f"{coder}_topk_{form}"] = _coded_topk(coder, form)
     return out | {
         "read_sections_refs_first": _sections("refs_first"),
         "read_sections_objects_first": _sections("objects_first"),
+        "section_source_refs_first": _section_source("refs_first"),
+        "section_source_objects_first": _section_source("objects_first"),
+        "section_source_shifted": _section_source("objects_first", strict_sections=False, **SELECTED),
         "read_sections_selected": _sections("objects_first", **SELECTED),
         "read_sections_shifted": _sections("objects_first", strict_sections=False, **SELECTED),
     }
@@ -298,7 +371,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- the same in SQL -------------------------------------------------------------------
 
 _BASE = f"""
-e as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings),
+a as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings where embedding is not null),
+e as (select * from a where len(v) = (select len(v) from a where vec_id < {N_PIVOTS} order by vec_id limit 1) and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
 q as (select vec_id as q_id, v as qv from e where vec_id % {EVERY} = 0),
 r as (select vec_id as ref_id, v as rv from e where vec_id < {N_PIVOTS}),
 o as (select vec_id as obj_id, v from e)"""
@@ -384,9 +458,19 @@ def oracle_sql() -> dict[str, str]:
         "delta_bits": f"with {_POS} select ref_id, obj_id, {_DELTA_CODE.format('(pos + 1)')} as code from p",
         "s9_past_end": f"with {_POS} select ref_id, arg_max(pos, obj_id) as last, (-1)::BIGINT as behind from p group by ref_id",
         "delta_gap_size": size["gap"],
+        "delta_append_size": f"with {_GAPS} select ref_id, sum({_DELTA.format('(gap + first::BIGINT)')})::BIGINT as bits, count(*)::BIGINT as objects, max(cell)::BIGINT as last_cell from g join c using (ref_id, obj_id) group by ref_id",
+        "delta_append_positions": positions,
+        "delta_access_gap": f"{positions} where obj_id % {EVERY} = 0",
+        "delta_access_pos": f"{positions} where obj_id % {EVERY} = 0",
         "delta_pos_size": size["pos"],
         "index_size_report": f"with {_GAPS}, s(coding, bytes) as (select 'plain_32', (4 * count(*))::DOUBLE from p union all select 'plain_64', (8 * count(*))::DOUBLE from p union all select 'permutation', count(*) * length(bin({N_PIVOTS} - 1)) / 8.0::DOUBLE from p union all select 's9_gap', {s9('gap')} union all select 's9_pos', {s9('pos')} union all select 'delta_gap', {total('gap')} union all select 'delta_pos', {total('pos')}) select coding, bytes, bytes / 1048576.0::DOUBLE as mib from s",
         "index_parameters": f"with {_BASE} select (select count(*) from r)::BIGINT as n, (select count(*) from o)::BIGINT as nn, (select max(len(rv)) from r)::BIGINT as dim, (select count(*) from q)::BIGINT as num_q",
+        "answer_lines_written": f"with {_SCORE}, t as ({_TOP}), b as (select q_id, string_agg(obj_id::VARCHAR || ' ', '' order by rk) as line from t group by q_id) select row_number() over (order by q_id) - 1 as line_no, line from b",
+        "answer_cursor": f"{_INT_TOP} select q_id, rk, obj_id, lag(obj_id) over w as prior, lead(obj_id) over w as next, first_value(obj_id) over x as first, last_value(obj_id) over x as last, count(*) over x as count from t window w as (partition by q_id order by rk), x as (partition by q_id order by rk rows between unbounded preceding and unbounded following)",
+        "index_measures": f"with {_POS} select count(distinct obj_id) as objects, count(*) as cells, coalesce(sum({_DELTA.format('(pos + 1)')}), 0)::BIGINT as delta_pos_bits from p",
+        "section_source_refs_first": sections_sql,
+        "section_source_objects_first": sections_sql,
+        "section_source_shifted": shifted,
         "read_sections_refs_first": sections_sql,
         "read_sections_objects_first": sections_sql,
         "read_sections_selected": f"select * from ({sections_sql}) where id < case part when 'object' then {n} when 'pivot' then {m} else {k} end",

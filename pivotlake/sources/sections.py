@@ -74,8 +74,3 @@ def read_sections(spark: SparkSession, path: str, layout: str, n_objects: int |
 
 def _names(section: str) -> tuple[str, str]:
     return {"objects": ("obj_id", "v"), "refs": ("ref_id", "rv")}[section]
-
-
-def write_answer_lines(lines: DataFrame, path: str) -> None:
-    """One line a query, in the order of the queries."""
-    lines.orderBy("q_id").select("line").write.mode("overwrite").text(path)

@@ -139,9 +139,9 @@ def test_buckets(tiny, form, bits, words):
     sizes = {r["ref_id"]: r["bits"] for r in codecs.delta_sizes(long, 3, form).collect()}
     assert sizes == {k: n for k, (n, _) in bits.items()} | {None: sum(n for n, _ in bits.values())}
     for segment in (2, 1 << 16):
-        back = codecs.delta_decode(codecs.delta_encode(long, 3, form, segment), 3, form, segment)
+        back = codecs.delta_decode(codecs.delta_encode(long, 3, form, segment), 3, form)
         assert sorted(back.collect()) == sorted(long.select("ref_id", "obj_id", "pos").collect())
-        back = codecs.s9_decode(codecs.s9_encode(long, 3, form, segment), 3, form, segment)
+        back = codecs.s9_decode(codecs.s9_encode(long, 3, form, segment), 3, form)
         assert sorted(back.collect()) == sorted(long.select("ref_id", "obj_id", "pos").collect())
 
 
