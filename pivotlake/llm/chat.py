@@ -15,8 +15,8 @@ Defined results: null texts and roles are empty strings; rows are ordered by tur
 last), then role, then text; repeated rows are turns of their own; null ``conv_id`` is one
 conversation; conversations without an assistant have a transcript and no example; an empty
 table gives an empty table. A text may be as long as a row may be, and so may a transcript.
-Long conversations are gathered in blocks of turns before they are joined. Other columns are
-not read.
+Long conversations are gathered in blocks of turns before they are joined, and their examples
+are written by many tasks. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pivotlake.llm.common import table
 
 BLOCK = 64
+#: Code points of contexts that one task writes out of one conversation, give or take one.
+CONTEXT_CHARS = 1 << 26
 END = "\n</turn>\n"
 
 
@@ -102,21 +104,30 @@ def render_examples(formatted: DataFrame) -> DataFrame:
     return formatted.join(e, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "example", cut[0].alias("context"), cut[1].alias("reply"))
 
 
-def written_examples(formatted: DataFrame) -> DataFrame:
+def written_examples(formatted: DataFrame, block_chars: int = CONTEXT_CHARS) -> DataFrame:
     """``(conv_id, example, context, known, reply)``, one row per assistant turn: its context
     written out, of which the example before holds the first ``known`` code points, and its
     reply. Turns after the last reply are no example's; they follow as a row whose reply is
-    null, with the whole transcript as context."""
+    null, with the whole transcript as context. Examples whose contexts together pass
+    ``block_chars`` are dealt in blocks over the tasks, each with a copy of the transcript."""
     before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     marked = (
         masked_segments(formatted)
         .withColumn("known", F.coalesce(F.max("loss_end").over(before) + F.length(F.lit(END)), F.lit(0)))
         .withColumn("last", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull())
         .where(F.col("loss_start").isNotNull() | F.col("last"))
-        .select(F.col("conv_id").alias("_c"), F.col("n").alias("example"), F.coalesce("loss_start", F.col("start") + F.length("segment")).alias("context_end"), "loss_start", "loss_end", "known")
+        .withColumn("context_end", F.coalesce("loss_start", F.col("start") + F.length("segment")))
+        .withColumn("block", F.floor(F.coalesce(F.sum("context_end").over(before), F.lit(0)) / block_chars))
+        .withColumn("blocks", F.max("block").over(Window.partitionBy("conv_id")))
+        .select(F.col("conv_id").alias("_c"), "block", "blocks", F.struct(F.col("n").alias("example"), "context_end", "loss_start", "loss_end", "known").alias("e"))
     )
+    same = F.col("conv_id").eqNullSafe(F.col("_c"))
+    few = formatted.join(marked.where("blocks = 0"), same).select("conv_id", "transcript", "e.*")
+    parts = marked.where("blocks > 0").groupBy("_c", "block").agg(F.collect_list("e").alias("e"))
+    tasks = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = formatted.join(parts, same).repartition(tasks, "conv_id", "block").select("conv_id", "transcript", F.explode("e").alias("e")).select("conv_id", "transcript", "e.*")
     cut = F.expr("substring(transcript, 1, cast(context_end as int))"), F.expr("substring(transcript, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))")
-    return formatted.join(marked, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "example", cut[0].alias("context"), "known", cut[1].alias("reply"))
+    return few.union(many).select("conv_id", "example", cut[0].alias("context"), "known", cut[1].alias("reply"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

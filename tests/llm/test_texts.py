@@ -11,7 +11,7 @@ import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from pivotlake.llm import collocations, fim, pii
+from pivotlake.llm import chat, collocations, fim, pii
 
 # --- fill in the middle -----------------------------------------------------------------
 
@@ -247,3 +247,21 @@ def test_personal_data_is_linear_in_a_text(spark, model):
 def test_personal_data_plan_is_native(spark, model):
     plan = pii.scan_private(spark.read.parquet(f"{DATA}/documents.parquet"), model=model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# --- long conversations -----------------------------------------------------------------
+
+
+def test_examples_in_blocks(spark):
+    """Ten thousand turns: the examples lie in many tasks, and say what one block says."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <x>\\") for k in range(10_000)] + [(2, 0, "user", "a"), (None, 0, "assistant", "b"), (3, 0, "assistant", None)]
+    d = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    written = chat.written_examples(d, 1 << 24).withColumn("part", F.spark_partition_id())
+    spread = {r["conv_id"]: (r["parts"], r["n"]) for r in written.groupBy("conv_id").agg(F.countDistinct("part").alias("parts"), F.count("reply").alias("n")).collect()}
+    assert spread[1][0] > 2 and {k: n for k, (_, n) in spread.items()} == {1: 5000, 2: 0, 3: 1, None: 1}
+    r = {r["conv_id"]: r for r in chat.read_back(d).collect()}[1]
+    assert (r["n_turns"], r["n_examples"]) == (10_000, 5_000)
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for c, _, role, text in rows if c == 1).encode()).hexdigest()
+    small = chat.transcripts(spark.createDataFrame(rows[:60] + rows[-3:], "conv_id long, turn long, role string, text string"))
+    one, many = (sorted(map(repr, chat.written_examples(small, n).collect())) for n in (1 << 26, 300))
+    assert one == many
