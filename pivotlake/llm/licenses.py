@@ -4,8 +4,9 @@ The document frequency of every licence word is counted over the whole corpus (t
 vocabulary is fixed, so the counts are a bounded table). The index holds, for every notice
 template, its rarest words with their positions. A file's words that are in the index vote
 for ``(template, file position - template position)``; votes that agree on a relative
-position make an alignment, whose words are then compared and whose mandatory key phrase is
-verified in place. Every occurrence votes; nothing is capped.
+position make an alignment, whose words are then compared, piece by piece where words were
+inserted or lost, and whose mandatory key phrase is verified in place. Every occurrence votes;
+nothing is capped.
 
 Defined results: null texts are empty: no words, null first and last place, empty labels,
 score 0; null ids pass through; repeated rows repeat; an empty table gives an empty table; a
@@ -95,8 +96,9 @@ TEMPLATES = (
 RARE = 4
 #: Share of a template's words that must stand at their places.
 MATCHED = 0.7
-#: Words by which agreeing votes may differ (an inserted or lost word).
-DRIFT = 2
+#: Words by which votes compete for one alignment, and by which pieces of a notice may be moved
+#: against each other at a time (inserted or lost words).
+DRIFT, REACH = 2, 8
 
 #: ASCII bytes outside 0-9 and letters part words; A-Z are lowered; other bytes are word bytes.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -150,24 +152,45 @@ class RareIndex:
         hits = present & self.rare
         if len(hits) < 2:
             return []
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        votes: dict[tuple[int, int], dict[bytes, int]] = defaultdict(dict)
         for p, w in enumerate(words):
             if w in hits:
                 for k, q in self.postings[w]:
-                    votes[k, p - q].add(w)
+                    votes[k, p - q].setdefault(w, q)
         found = []
         for (k, at), voters in votes.items():
-            near = set().union(*(votes.get((k, at + d), ()) for d in range(-DRIFT, DRIFT + 1)))
+            near = set().union(*(votes.get((k, at + d), ()) for d in range(-REACH, REACH + 1)))
             if len(near) < self.need[k] or len(voters) < max(len(votes.get((k, at + d), ())) for d in range(-DRIFT, DRIFT + 1)):
                 continue
-            t = self.templates[k]
-            same = sum(max((1.0 - 0.1 * abs(d) for d in range(-DRIFT, DRIFT + 1) if 0 <= at + q + d < len(words) and words[at + q + d] == w), default=0.0) for q, w in enumerate(t)) / len(t)
-            window = b" " + b" ".join(words[max(0, at - DRIFT) : at + len(t) + DRIFT]) + b" "
+            same, low, high = align(words, self.templates[k], at, min(voters.values()))
+            window = b" " + b" ".join(words[low : high + 1]) + b" "
             if same >= MATCHED and self.phrases[k] in window:
-                found.append((k, at, same))
+                found.append((k, low, same))
         return found
 
 
+def align(words: list[bytes], template: list[bytes], at: int, anchor: int) -> tuple[float, int, int]:
+    """The matched share of a template whose word ``anchor`` stands at ``at + anchor``, and the first
+    and last matched place. To both sides of the anchor words are compared place by place; where
+    one differs, two of the template's words in a row, at most ``REACH`` further on or back, begin
+    a new piece. Every new piece costs a tenth of a word."""
+    matched, pieces, low, high = 1, 0, at + anchor, at + anchor
+    there = lambda p, q: 0 <= p < len(words) and words[p] == template[q]
+    for step, end in ((1, len(template)), (-1, -1)):
+        shift = at
+        for q in range(anchor + step, end, step):
+            if not there(shift + q, q):
+                ahead = q + step
+                if not 0 <= ahead < len(template):
+                    continue
+                move = next((m for d in range(1, REACH + 1) for m in (d, -d) if there(shift + m + q, q) and there(shift + m + ahead, ahead) and (shift + m + q > high if step > 0 else shift + m + q < low)), 0)
+                if not move:
+                    continue
+                shift, pieces = shift + move, pieces + 1
+            matched, low, high = matched + 1, min(low, shift + q), max(high, shift + q)
+    return (matched - 0.1 * pieces) / len(template), low, high
+
+
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word positions at which the phrase's words stand, in a text joined by single spaces
     with a space at either end."""
