@@ -178,6 +178,57 @@ def topk_late_ties(scored: DataFrame, k: int = 10) -> DataFrame:
     return smallest(few.where(~F.col("tie") | (F.col("rl") <= k - F.col("under"))).select("q_id", "obj_id", "score"), k)
 
 
+#: Rows that a task holds while it merges answers; beyond them it gives away what it has.
+HELD = 2_000_000
+
+
+def _kept(q: np.ndarray, s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest (score, id) of every query, in order."""
+    order = np.lexsort((i, s, q))
+    start = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]]) if len(q) else np.empty(0, "i8")
+    return order[np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k]
+
+
+def merged(scored: DataFrame, k: int) -> DataFrame:
+    """``(q_id, obj_id, score)`` with the ``k`` smallest of every query among them: a bounded
+    summary that tasks make of the pairs they see, merged once more behind the shuffle by
+    query. Summaries of parts make the summary of the whole, so pairs are never sorted."""
+    ship(scored.sparkSession)
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def settled() -> list[np.ndarray]:
+            q, i, s = (np.concatenate(c) for c in zip(*held, strict=True))
+            own = _kept(q, s, i, k)
+            return [q[own], i[own], s[own]]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy() for c in b.columns])
+            n += b.num_rows
+            if n > 4 * max(held[0][0].size if len(held) > 1 else 0, 1 << 16):
+                held = [settled()]
+                n = held[0][0].size
+                if n > HELD:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["q_id", "obj_id", "score"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, settled())), ["q_id", "obj_id", "score"])
+
+    rows = scored.select("q_id", "obj_id", "score").where("score is not null")
+    schema = f"q_id long, obj_id long, score {rows.schema['score'].dataType.simpleString()}"
+    return rows.mapInArrow(summary, schema).repartition("q_id").mapInArrow(summary, schema)
+
+
+def merged_topk(scored: DataFrame, k: int = 10, late: bool = False) -> DataFrame:
+    """``smallest``, or ``topk_late_ties``, from merged summaries. The late rule asks of the k-th
+    score d for what is under it, fewer than k, and for the first k ids at it: all of these are
+    among the 2 k - 1 smallest."""
+    return topk_late_ties(merged(scored, 2 * k - 1), k) if late else smallest(merged(scored, k), k)
+
+
 def lookup_distance(answers: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(q_id, dist, obj_id)``: the first object of the query's answers at a wanted distance
     ``(q_id, dist)``, else -1."""

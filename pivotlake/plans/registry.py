@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pivotlake.functions import codes
 from pivotlake.functions.shared import fresh_path
-from pivotlake.operators import codecs, growing, index, permutations, search, vectors
+from pivotlake.operators import codecs, growing, index, permutations, search, vectors, wavelet
 from pivotlake.operators.vectors import VectorSet, split_embeddings
 from pivotlake.sources import formats, sections
 
@@ -114,6 +114,14 @@ def footrule_topk_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.topk_late_ties(search.array_scores(_set(spark, sf_dir)), K)
 
 
+def footrule_topk_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.merged_topk(search.array_scores(_set(spark, sf_dir)), K)
+
+
+def footrule_topk_merged_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.merged_topk(search.array_scores(_set(spark, sf_dir)), K, late=True)
+
+
 def footrule_topk_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _set(spark, sf_dir)
     return search.padded(search.footrule_topk_array(s, K), s.queries, K).select("q_id", "rk", "obj_id")
@@ -177,6 +185,22 @@ def perm_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).select("obj_id", F.element_at("perm", 1).cast("long").alias("first"), F.element_at("perm", -1).cast("long").alias("last"))
 
 
+def wavelet_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a wavelet matrix, read by counting."""
+    built = index.build_index(_set(spark, sf_dir))
+    ends = built.select("obj_id", F.explode(F.array(F.lit(0), F.lit(N_PIVOTS - 1))).alias("rank"))
+    found = wavelet.read_symbols(wavelet.encode(built, N_PIVOTS), ends, N_PIVOTS)
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("ref_id")))
+    return found.groupBy("obj_id").agg(at(0).alias("first"), at(N_PIVOTS - 1).alias("last"))
+
+
+def wavelet_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured bytes of the levels and their counts beside the formula's for bare symbols."""
+    s = _set(spark, sf_dir)
+    bare = index.size_report(s).where("coding = 'permutation'").select(F.col("bytes").alias("formula_bytes"))
+    return wavelet.sizes(wavelet.encode(index.build_index(s), N_PIVOTS)).crossJoin(F.broadcast(bare))
+
+
 def gap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.gap_values(_positions(spark, sf_dir), N_PIVOTS).select("ref_id", "obj_id", "gap", "first")
 
@@ -186,8 +210,10 @@ def gap_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and codes of all different values that the gap form codes."""
     x = F.col("x")
-    return spark.range(1, 5000).select(F.col("id").alias("x")).select("x", codes.bit_length(x).alias("bits"), codes.gamma_length(x).alias("gamma"), codes.gamma_bits(x).alias("gamma_code"), codes.delta_length(x).alias("delta"), codes.delta_bits(x).alias("delta_code"))
+    values = codecs.coded_values(_positions(spark, sf_dir), N_PIVOTS, "gap", True).select(F.col("value").alias("x")).distinct()
+    return values.select("x", codes.bit_length(x).alias("bits"), codes.gamma_length(x).alias("gamma"), codes.gamma_bits(x).alias("gamma_code"), codes.delta_length(x).alias("delta"), codes.delta_bits(x).alias("delta_code"))
 
 
 def _named_total(sizes: DataFrame) -> DataFrame:
@@ -348,7 +374,7 @@ def index_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, answer_lookup, answer_remove, stored_index_topk, stored_perm_topk, perm_access, gap_values, gap_restore, code_lengths, delta_bits, s9_past_end, index_size_report, index_parameters, delta_append_size, delta_append_positions, answer_lines_written, answer_cursor, index_measures)
+    plain = (vec_split, pairwise_sqdist, ref_rank_long, ref_order_array, ref_position_array, pivot_lookup, index_cell, cell_decode, footrule_scores, footrule_topk, footrule_topk_array, footrule_topk_bulk, footrule_topk_points, footrule_topk_late, footrule_topk_padded, perm_search, exact_topk_l2, exact_topk_l1, exact_topk_int, answer_lines, recall_at_k, answer_lookup, answer_remove, stored_index_topk, stored_perm_topk, perm_access, gap_values, gap_restore, code_lengths, delta_bits, s9_past_end, index_size_report, index_parameters, delta_append_size, delta_append_positions, answer_lines_written, answer_cursor, index_measures, footrule_topk_merged, footrule_topk_merged_late, wavelet_access, wavelet_size)
     out = {f.__name__: f for f in plain}
     for form in ("gap", "pos"):
         out[f"delta_{form}_size"] = _bucket_size(form)
@@ -449,12 +475,16 @@ def oracle_sql() -> dict[str, str]:
         "exact_topk_int": f"{_INT_TOP} select * from t",
         "answer_lookup": f"{_INT_TOP}, {_ASKED} select q_id, dist, coalesce(obj_id, -1)::BIGINT as obj_id from f",
         "answer_remove": f"{_INT_TOP}, {_ASKED} select t.q_id, row_number() over (partition by t.q_id order by t.rk)::BIGINT as rk, t.obj_id, t.dist from t left join f on f.q_id = t.q_id and f.obj_id = t.obj_id where f.obj_id is null",
+        "footrule_topk_merged": top,
+        "footrule_topk_merged_late": late,
+        "wavelet_access": f"with {_POS} select obj_id, arg_min(ref_id, pos) as first, arg_max(ref_id, pos) as last from p group by obj_id",
+        "wavelet_size": f"with {_POS}, s as (select obj_id // {wavelet.segment_of(N_PIVOTS)} as seg, count(*) as m from p group by seg), w as (select length(bin({N_PIVOTS} - 1)) as w) select coalesce(sum(w * ((m + 7) // 8)), 0)::BIGINT as bit_bytes, coalesce(sum(w * 4 * ((m + {wavelet.BLOCK - 1}) // {wavelet.BLOCK})), 0)::BIGINT as count_bytes, coalesce(sum(m * w), 0) / 8.0::DOUBLE as formula_bytes from s, w",
         "perm_access": f"with {_POS} select obj_id, arg_min(ref_id, pos) as first, arg_max(ref_id, pos) as last from p group by obj_id",
         "answer_lines": f"with {_SCORE}, t as ({_TOP}) select q_id, string_agg(obj_id::VARCHAR || ' ', '' order by rk) as line from t group by q_id",
         "recall_at_k": f"with {_SCORE}, t as ({_TOP}), x as ({_EXACT.format(out='dist', dist='sqrt(' + _D2.format('v', 'qv') + ')', k=K)}) select q_id, count(x.obj_id)::BIGINT as hits, count(x.obj_id) / {K}.0::DOUBLE as recall from t left join x using (q_id, obj_id) group by q_id",
         "gap_values": f"with {_GAPS} select ref_id, obj_id, gap, first from g",
         "gap_restore": positions,
-        "code_lengths": f"select x, {_BITS.format('x')}::BIGINT as bits, (2 * {_BITS.format('x')} - 1)::BIGINT as gamma, repeat('0', {_BITS.format('x')} - 1) || bin(x) as gamma_code, {_DELTA.format('x')}::BIGINT as delta, {_DELTA_CODE.format('x')} as delta_code from (select unnest(range(1, 5000))::BIGINT as x)",
+        "code_lengths": f"with {_GAPS}, x as (select distinct (gap + first::BIGINT)::BIGINT as x from g) select x, {_BITS.format('x')}::BIGINT as bits, (2 * {_BITS.format('x')} - 1)::BIGINT as gamma, repeat('0', {_BITS.format('x')} - 1) || bin(x) as gamma_code, {_DELTA.format('x')}::BIGINT as delta, {_DELTA_CODE.format('x')} as delta_code from x",
         "delta_bits": f"with {_POS} select ref_id, obj_id, {_DELTA_CODE.format('(pos + 1)')} as code from p",
         "s9_past_end": f"with {_POS} select ref_id, arg_max(pos, obj_id) as last, (-1)::BIGINT as behind from p group by ref_id",
         "delta_gap_size": size["gap"],

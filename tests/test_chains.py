@@ -8,7 +8,7 @@ from helpers import DATA
 from pyspark.sql import functions as F
 
 from pivotlake.functions import codes
-from pivotlake.operators import codecs, grid, growing, permutations, search, vectors
+from pivotlake.operators import codecs, grid, growing, permutations, search, vectors, wavelet
 from pivotlake.plans import registry
 
 LONG = "ref_id long, obj_id long, pos long"
@@ -172,3 +172,36 @@ def test_searches_beyond_a_broadcast(odd_set, monkeypatch, cell):
         found = f()
         assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString(), k
         assert sorted(found.collect()) == want[k], k
+
+
+def test_merged_answers(spark, monkeypatch):
+    """Summaries of parts, also given away early, hold what both tie rules need."""
+    monkeypatch.setattr(search, "HELD", 50)
+    rng = random.Random(6)
+    rows = [(q, i, rng.randrange(5)) for q in range(40) for i in rng.sample(range(3000), 2500)]
+    d = spark.createDataFrame(rows, "q_id long, obj_id long, score long").repartition(5)
+    for k in (1, 7):
+        assert sorted(search.merged_topk(d, k).collect()) == sorted(search.smallest(d, k).collect())
+        assert sorted(search.merged_topk(d, k, late=True).collect()) == sorted(search.topk_late_ties(d, k).collect())
+    plan = search.merged_topk(d, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.rindex("MapInArrow") :]
+    assert search.merged_topk(d.where("false"), 7).count() == 0
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 16, 100):
+        symbols = rng.integers(0, n, 3000)
+        levels = wavelet.build_levels(symbols, max(1, (n - 1).bit_length()))
+        assert (wavelet.access(levels, np.arange(3000)) == symbols).all()
+
+
+def test_wavelet_look_ups(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SYMBOLS", 60)
+    rng = np.random.default_rng(5)
+    perm = {int(i): rng.permutation(6).tolist() for i in rng.choice(200, 70, replace=False)}
+    d = spark.createDataFrame(list(perm.items()), "obj_id long, perm array<int>")
+    wanted = spark.createDataFrame([(i, r) for i in range(-1, 201) for r in (-1, 0, 3, 5, 6)], "obj_id long, rank long")
+    for salts in (1, 3):
+        got = wavelet.read_symbols(wavelet.encode(d, 6), wanted, 6, salts)
+        assert sorted(map(tuple, got.collect())) == sorted((i, r, p[r]) for i, p in perm.items() for r in (0, 3, 5))
