@@ -23,7 +23,8 @@ sets, always.
 4. In small nodes every document is confirmed against its closest partner of smaller id, and
    these links contract components.
 5. What then shares a node, is close and lies in different components is confirmed inside the
-   node, on full sets, with the components found there: a node of m documents gives at most
+   node, on full sets (a pair that meets in several small nodes of the first level in one of them
+   only, so that few sets are sent twice), with the components found there: a node of m documents gives at most
    m - 1 links, however many of its documents are alike.
 
 No links, components or fingerprints come to the driver, no pairs are emitted unconfirmed but
@@ -299,8 +300,8 @@ def core_pairs(large: DataFrame, sigs: DataFrame, keep: Scratch) -> DataFrame |
     return keep(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "core-pairs")
 
 
-def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """``(node, id)`` of small nodes; ``(node, id, size, n_out, main)`` of large ones that are
+def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """``(node, id)`` of small nodes, a table a level; ``(node, id, size, n_out, main)`` of large ones that are
     to be compared in blocks; and ``(child, root)`` of the links to cores. One level a turn:
     count nodes, keep shared ones, contract families, branch the large ones again."""
     sigs = entities.select("id", "brief", "high")
@@ -325,7 +326,7 @@ def grow_trees(texts: Texts, entities: DataFrame, keep: Scratch) -> tuple[DataFr
         if parts.where(~done).isEmpty():
             break
         rows = own.where(~done).join(sigs, "id").select("node", "id", "brief", "high").mapInArrow(lean(_branch), "node long, id long")
-    return reduce(DataFrame.union, small), parted, roots
+    return small, parted, roots
 
 
 def _light(rows: DataFrame) -> DataFrame:
@@ -407,16 +408,35 @@ def _cells(t: pa.Table) -> list[np.ndarray]:
     return np.split(np.arange(t.num_rows), cut)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, nodes)`` to ``(id, firsts)``: nodes side by side, filled up with zeros."""
+    for b in batches:
+        own = [np.pad(x, (0, TREES * FANOUT - len(x))).tobytes() for x in (np.array(v, "<i8") for v in b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "firsts"])
+
+
+def _own_pairs(node: int, firsts: np.ndarray, q: int, near: np.ndarray) -> np.ndarray:
+    """Which of the rows ``near`` meet row ``q`` here first. ``firsts`` holds every row's small nodes
+    of the first level, filled up with zeros. A pair that shares any belongs to the smallest, so
+    to one cell; a pair that shares none belongs to every cell where it meets."""
+    mine = firsts[q][firsts[q] != 0]
+    shared = np.where(np.isin(firsts[near], mine), firsts[near], np.iinfo("i8").max).min(1)
+    return near[(shared == node) | (shared == np.iinfo("i8").max)]
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``CELL`` with ``brief`` and ``comp``, sorted, to the ``CELL`` rows that take part in any
-    close pair of different components. No pair leaves the cell."""
+    """``CELL`` with ``brief``, ``comp`` and ``firsts``, sorted, to the ``CELL`` rows that take part in
+    any close pair of different components that belongs to the cell. No pair leaves the cell."""
     for t in _by_key(batches, 3):
-        sig, comp, asks = _signatures(t["brief"]), t["comp"].to_numpy(), t["asks"].to_numpy()
+        sig, comp, asks, node = _signatures(t["brief"]), t["comp"].to_numpy(), t["asks"].to_numpy(), t["node"].to_numpy()
+        firsts = np.frombuffer(b"".join(t["firsts"].to_pylist()), "<i8").reshape(t.num_rows, -1)
         marked = np.zeros(t.num_rows, bool)
         for own in _cells(t):
             if (comp[own] != comp[own[0]]).any():
                 for q, near, _ in _pairs_of_cell(sig[own], comp[own], asks[own]):
-                    marked[own[q]] = marked[own[near]] = True
+                    near = _own_pairs(node[own[0]], firsts[own], q, near)
+                    if len(near):
+                        marked[own[q]] = marked[own[near]] = True
         yield from t.filter(pa.array(marked)).select(["node", "asked_block", "block", "id", "asks"]).to_batches()
 
 
@@ -589,7 +609,8 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     texts = Texts(docs, size, not entities.where(F.col("id") >= NAMELESS).isEmpty())
     names = keep(rows.select("doc_id", "n", "digest").join(entities.select("digest", "id"), "digest", "left"), "names")
     keep.drop(rows)
-    small, parted, roots = grow_trees(texts, entities, keep)
+    levels, parted, roots = grow_trees(texts, entities, keep)
+    small = reduce(DataFrame.union, levels)
     # components are told to entities, not to their many places in nodes
     known = lambda roots: relabel(entities.select("id", "brief", F.col("id").alias("comp")), "comp", roots)
 
@@ -607,7 +628,10 @@ def cluster(docs: DataFrame, size: int, text_col: str, id_col: str, keep: Scratc
     for p in parted:
         cells = cells.union(dealt_cells(p, known(roots).select("id", "comp"), roots))
     key = ("node", "asked_block", "block")
-    close = cells.join(known(roots), "id").select(*key, "id", "asks", "brief", "comp")
+    # close pairs meet in several nodes of the first level: they are confirmed in one of them
+    width = TREES * FANOUT
+    firsts = levels[0].join(chosen.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("node").alias("f")).mapInArrow(lean(_packed), "id long, firsts binary")
+    close = cells.join(known(roots), "id").join(firsts, "id", "left").select(*key, "id", "asks", "brief", "comp", F.coalesce("firsts", F.lit(bytes(8 * width))).alias("firsts"))
     marks = keep(close.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(lean(_marks), CELL), "marks")
     # rows of one id with several sets are one document
     several = names.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()

@@ -113,7 +113,7 @@ def test_collocations(spark, odd, none, depth, block):
     d = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     got = {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"], r["score"]) for r in collocations.collocations(d, depth, 10, block=block).collect()}
     assert got == brute_collocations(rows, depth)
-    assert len(got) > 20
+    assert len(got) > 5
     if depth == 3 and block > 1000:
         assert {r["phrase"] for r in collocations.top_collocations(collocations.collocations(odd)).collect()} == {p for _, p in brute_collocations([(r["lang"], r["text"]) for r in odd.collect()])}
         assert collocations.top_collocations(collocations.collocations(none)).count() == 0
