@@ -409,9 +409,11 @@ def _cells(t: pa.Table) -> list[np.ndarray]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(id, nodes)`` to ``(id, firsts)``: nodes side by side, filled up with zeros."""
+    """``(id, nodes)`` to ``(id, firsts)``: nodes side by side, filled up with zeros. An id with
+    several sets lies in more nodes; its pairs belong to every cell."""
+    width = TREES * FANOUT
     for b in batches:
-        own = [np.pad(x, (0, TREES * FANOUT - len(x))).tobytes() for x in (np.array(v, "<i8") for v in b.column(1).to_pylist())]
+        own = [np.array([*v, *[0] * (width - len(v))] if len(v) <= width else [0] * width, "<i8").tobytes() for v in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "firsts"])
 
 
@@ -662,14 +664,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, text_col: str = "text",
     without a word link with nothing, so all such rows of different ids, or of none, stay."""
     with Scratch() as keep:
         found = keep(cluster(docs, size, text_col, id_col, keep), "found")
-        ids = materialize(found.where("doc_id is not null and (comp is null or doc_id = comp)").select("doc_id").distinct(), "kept-ids")
-        twice = keep(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null"), "twice")
+        stays = F.max(F.col("comp").isNull() | (F.col("doc_id") == F.col("comp")))
+        ids = keep(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("c")), "ids")
+        gone = materialize(ids.where("not stays").select("doc_id"), "gone-ids")
         nulls = not found.where("doc_id is null").isEmpty()
-        again = not twice.isEmpty()
+        again = not ids.where("stays and c > 1").isEmpty()
         lone = materialize(found.where("doc_id is null and comp >= " + str(NAMELESS)).groupBy("comp").agg(F.min("digest").alias("digest")).select("digest"), "kept-digests") if nulls else None
-        twice = materialize(twice.select("doc_id"), "twice-ids") if again else None
-    among = lambda rows, few, how: rows.alias("l").join(few.alias("r"), F.col(f"l.`{id_col}`").cast("long") == F.col("r.doc_id"), how)
-    kept = among(docs, ids, "left_semi")
+        twice = materialize(ids.where("stays and c > 1").select("doc_id"), "twice-ids") if again else None
+    among = lambda rows, few, how: rows.alias("l").join(_light(few).alias("r"), F.col(f"l.`{id_col}`").cast("long") == F.col("r.doc_id"), how)
+    # the ids that go are the fewer ones: while they can be broadcast, no text is shuffled
+    kept = among(docs.where(docs[f"`{id_col}`"].isNotNull()), gone, "left_anti")
     if again:
         kept = among(kept, twice, "left_anti").union(among(kept, twice, "left_semi").dropDuplicates([id_col]))
     if nulls:
