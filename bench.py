@@ -40,7 +40,7 @@ def headline(spark: SparkSession, sf_dir: str, stored: str) -> dict:
         "exact_topk_l2": lambda: search.exact_topk(s, K_EXACT, "l2"),
         "delta_pos_size": lambda: codecs.delta_sizes_of(index.build_index(s), N_PIVOTS, "pos"),
         "delta_gap_size": lambda: codecs.delta_sizes_of(index.build_index(s), N_PIVOTS, "gap"),
-        "s9_words_pos": lambda: codecs.s9_sizes(codecs.s9_encode(positions(), N_PIVOTS, "pos")),
+        "s9_words_pos": lambda: codecs.s9_words(positions(), N_PIVOTS, "pos"),
     }
 
 

@@ -366,15 +366,41 @@ def _entered(t: pa.Table, at: int) -> list[int]:
     return out
 
 
-def s9_entries(maps: DataFrame) -> DataFrame:
-    """``(ref_id, seg, entry)`` from the segments' maps ``(ref_id, seg, words, leave)``: blocks of
-    segments are composed, then blocks are entered one after the other, then their segments."""
-    blocks = maps.withColumn("blk", F.floor(F.col("seg") / S9_BLOCK).cast("long"))
+def _s9_maps(chains: DataFrame, n: int, form: str) -> DataFrame:
+    """``(ref_id, seg, blk, words, leave)``: the map of every segment, with its block."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [s9_carry(value, m) for _, value, _, _, m in (_s9_values(b, k, n, form) for k in range(b.num_rows))]
+            lists = [pa.array([list(x[j]) for x in found], pa.list_(pa.int64())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("seg"), *lists], ["ref_id", "seg", "words", "leave"])
+
+    maps = chains.mapInArrow(carry, "ref_id long, seg long, words array<long>, leave array<long>")
+    return maps.withColumn("blk", F.floor(F.col("seg") / S9_BLOCK).cast("long"))
+
+
+def _s9_composed(maps: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """``(keys, words, leave)``: the maps of each group, composed in their order."""
 
     def total(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seg")
+        t = t.sort_by(order)
         both = reduce(compose, [tuple(np.array(t[c][k].as_py(), "i8") for c in ("words", "leave")) for k in range(t.num_rows)])
-        return pa.table({"ref_id": t["ref_id"][:1], "blk": t["blk"][:1], "words": [both[0]], "leave": [both[1]]})
+        return pa.table({**{k: t[k][:1] for k in keys}, "words": [both[0]], "leave": [both[1]]})
+
+    return maps.groupBy(*keys).applyInArrow(total, ", ".join(f"{k} long" for k in keys) + ", words array<long>, leave array<long>")
+
+
+def s9_words(positions: DataFrame, n: int, form: str, segment: int = SEGMENT) -> DataFrame:
+    """``(ref_id, words)`` per pivot, and the total under a null ``ref_id``: from the composed maps,
+    without making a word."""
+    ship(positions.sparkSession)
+    blocks = _s9_composed(_s9_maps(_chains(positions, segment), n, form), ("ref_id", "blk"), "seg")
+    return _with_total(_s9_composed(blocks, ("ref_id",), "blk").select("ref_id", F.col("words")[0].alias("words")))
+
+
+def s9_entries(maps: DataFrame) -> DataFrame:
+    """``(ref_id, seg, entry)`` from the segments' maps: blocks of segments are composed, then
+    blocks are entered one after the other, then their segments."""
 
     def enter(t: pa.Table) -> pa.Table:
         t = t.sort_by("blk")
@@ -384,9 +410,8 @@ def s9_entries(maps: DataFrame) -> DataFrame:
         t = t.sort_by("seg")
         return pa.table({"ref_id": t["ref_id"], "seg": t["seg"], "entry": _entered(t, t["at"][0].as_py())})
 
-    whole = blocks.groupBy("ref_id", "blk").applyInArrow(total, "ref_id long, blk long, words array<long>, leave array<long>")
-    starts = whole.groupBy("ref_id").applyInArrow(enter, "ref_id long, blk long, at long")
-    return blocks.join(starts, ["ref_id", "blk"]).groupBy("ref_id", "blk").applyInArrow(inside, "ref_id long, seg long, entry long")
+    starts = _s9_composed(maps, ("ref_id", "blk"), "seg").groupBy("ref_id").applyInArrow(enter, "ref_id long, blk long, at long")
+    return maps.join(starts, ["ref_id", "blk"]).groupBy("ref_id", "blk").applyInArrow(inside, "ref_id long, seg long, entry long")
 
 
 def s9_encode(positions: DataFrame, n: int, form: str, segment: int = SEGMENT) -> DataFrame:
@@ -395,13 +420,7 @@ def s9_encode(positions: DataFrame, n: int, form: str, segment: int = SEGMENT) -
     ship(positions.sparkSession)
     chains = _chains(positions, segment)
 
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [s9_carry(value, m) for _, value, _, _, m in (_s9_values(b, k, n, form) for k in range(b.num_rows))]
-            lists = [pa.array([list(x[j]) for x in found], pa.list_(pa.int64())) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("seg"), *lists], ["ref_id", "seg", "words", "leave"])
-
-    entries = s9_entries(chains.mapInArrow(carry, "ref_id long, seg long, words array<long>, leave array<long>"))
+    entries = s9_entries(_s9_maps(chains, n, form))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

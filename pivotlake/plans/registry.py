@@ -255,7 +255,7 @@ def _coded_topk(coder: str, form: str) -> Callable[[SparkSession, str], DataFram
 
 def _s9_words(form: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _named_total(codecs.s9_sizes(codecs.s9_encode(_positions(spark, sf_dir), N_PIVOTS, form)))
+        return _named_total(codecs.s9_words(_positions(spark, sf_dir), N_PIVOTS, form))
 
     return query
 

@@ -57,6 +57,7 @@ def test_simple9_words_of_70000_objects(spark, form):
     got = {r["ref_id"]: r["words"] for r in codecs.s9_sizes(codecs.s9_encode(d, 16, form)).collect()}
     want = {r: len(codecs.s9_pack(chain(ids, x, 16, form))) for r, x in own.items()}
     assert got == want | {None: sum(want.values())}
+    assert {r["ref_id"]: r["words"] for r in codecs.s9_words(d, 16, form).collect()} == got
     con = duckdb.connect()
     values = ", ".join(f"({r}, {chain(ids, x, 16, form).tolist()})" for r, x in own.items())
     con.execute(f"create table l as select * from (values {values}) t(ref_id, v)")
@@ -91,6 +92,7 @@ def test_empty_tables_are_coded(spark):
     for coder in ("delta", "s9"):
         for form in ("pos", "gap"):
             assert getattr(codecs, f"{coder}_encode")(none, 4, form).count() == 0
+    assert [tuple(r) for r in codecs.s9_words(none, 4, "gap").collect()] == [(None, None)]
     assert codecs.delta_sizes_of(spark.createDataFrame([], "obj_id long, pos array<int>"), 4, "gap").count() == 1  # the total
 
 
