@@ -11,7 +11,7 @@ the numbers are looked up in the patterns.
 
 Tokens: ids depend on a white-space-free chunk alone, because the tokenizer's patterns never
 match across white space, so ids are kept per chunk in a bounded cache and most chunks are
-encoded only once per worker. Chunks of plain Latin-1 letters and marks are merged by the
+encoded only once per task. Chunks of plain Latin-1 letters and marks are merged by the
 vocabulary's ranks directly; all others go through the tokenizer itself. This holds for
 tokenizer files of one make (``_merges_by_rank``); texts go whole through any other tokenizer.
 
@@ -40,7 +40,7 @@ from pivotlake.llm.common import lean, materialize, table
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks whose ids one worker keeps (some 200 bytes each).
+#: Chunks whose ids one task keeps at most (some 500 bytes each).
 CACHED_CHUNKS = 200_000
 #: Numbering of equal lengths is spread over so many buckets at least, and over more where
 #: they would hold more than so many pieces each.
@@ -139,9 +139,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPA
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pivotlake.llm import packing  # the worker's own module keeps the cache between tasks
+        from pivotlake.llm import packing  # the worker's own module keeps the tokenizer between tasks
 
-        encode = packing.chunk_ids(packing._tokenizer_path(tokenizer)).encode
+        known = packing.chunk_ids(packing._tokenizer_path(tokenizer))
+        encode = known.encode
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -154,6 +155,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPA
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.clear()  # idle workers would hold some 100 MB each; a task's own chunks fill it as well
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(cut), PIECES)
 

@@ -357,6 +357,22 @@ def test_fullest_against_all_subsets():
         assert sum(k * n for k, n in found.items()) == items[-1] + best and all(counts[k] >= n for k, n in found.items())
 
 
+def test_idle_workers_keep_no_chunks(spark):
+    """The pipeline failed by what several idle workers an executor held of the tokenizer's cache."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        from pivotlake.llm import packing
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.chunk_ids(packing._tokenizer_path(packing.TOKENIZER)))])], ["n"])
+
+    d = spark.createDataFrame([(k, f"some text number{k} of words{k % 7}") for k in range(64)], "doc_id long, text string").repartition(16)
+    assert packing.cut_pieces(d).count() == 64
+    assert {r["n"] for r in d.mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing(spark, odd, none, chunks):
     rows = packing.pack_documents(odd).collect()
     seqs, docs = {}, {}
