@@ -31,7 +31,7 @@ table. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,10 @@ BATCH = 1 << 16
 _TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
 _BREAK = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
 _ENDS = [bytes([c]) for c in (*b".,;:!?", *range(0x0A, 0x0E))]
+#: Of each byte: 0 between tokens, 1 a token of its own, 2 of a word.
+_KIND = np.full(256, 2, "u1")
+_KIND[[0x20, 0x09]] = 0
+_KIND[[c[0] for c in _ENDS]] = 1
 _NODE = "lang string, phrase string, words int, f long"
 
 
@@ -101,17 +105,17 @@ class Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.bytes, self.tokens, self.parts = 0, [], []
+        self.bytes, self.parts = 0, []
 
     def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
         known: list[bytes] = []
         for data in slices(text, self.block):
-            own = known + _TOKEN.findall(data)
-            # language, number of tokens, and how many of them the slice before has counted
-            self.parts.append((lang, len(own) + 1, len(known)))
-            self.tokens.append(pa.array([*own, b"\n"], pa.binary()))
+            # language, what the slice before has counted and the slice, and how many tokens that is
+            self.parts.append((lang, b" ".join([*known, data]) + b"\n", len(known)))
             self.bytes += len(data)
-            known = own[len(own) - min(len(own), self.depth - 1) :]
+            if len(data) >= self.block:  # there may be another slice
+                own = known + _TOKEN.findall(data)
+                known = own[len(own) - min(len(own), self.depth - 1) :]
             if self.bytes >= self.block:
                 yield from self.trie()
 
@@ -119,9 +123,11 @@ class Shard:
         """The block's trie, level by level, each sorted by parent and word."""
         if not self.parts:
             return
-        coded = pa.chunked_array(self.tokens).combine_chunks().dictionary_encode()
-        langs, size, known = zip(*self.parts, strict=True)
+        langs, texts, known = zip(*self.parts, strict=True)
         self.clear()
+        coded, size = _tokens(texts)
+        del texts
+        coded = coded.dictionary_encode()
         order = pc.array_sort_indices(coded.dictionary)
         names, rank = coded.dictionary.take(order), np.empty(len(order), "i8")
         rank[order.to_numpy()] = np.arange(len(order))
@@ -129,34 +135,75 @@ class Shard:
         word = rank[coded.indices.to_numpy(zero_copy_only=False)]
         del coded
         roots = pa.array(langs, pa.string()).dictionary_encode()
-        size, known = np.array(size), np.array(known)
+        known = np.array(known)
         place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         fresh = place >= np.repeat(known, size)
         node = np.repeat(roots.indices.to_numpy(zero_copy_only=False).astype("i8"), size)
         lang = np.arange(len(roots.dictionary))
         if not self.frequent:
+            start = np.arange(len(word))
             yield from _rows(roots.dictionary, None, 0, np.bincount(node, fresh & (word >= 0), len(lang)).astype("i8"))
         else:
-            word_hash, h = _name_hash(names.to_pylist()), _name_hash([x.encode() for x in roots.dictionary.to_pylist()])
-        phrase, start, n_words = None, np.arange(len(word)), max(len(names), 1)
+            start = self._passed(word, node, names, roots.dictionary)
+            node = node[start]
+        phrase, n_words = None, max(len(names), 1)
         for depth in range(1, self.depth + 1):
             end = start + depth - 1
             ok = end < len(word)
             ok[ok] = word[end[ok]] >= 0
-            if self.frequent and depth == self.depth:
-                passed = np.zeros(len(word) + 1, bool)
-                passed[start] = self.frequent(h)[node]
-                ok &= passed[start] & passed[start + 1]
+            if depth == self.depth:
+                ok[ok] = fresh[end[ok]]  # others would count nothing
             start, end, node = start[ok], end[ok], node[ok]
-            key, node = np.unique(node * n_words + word[end], return_inverse=True)
+            key, node, f = _nodes(node * n_words + word[end], fresh[end], len(lang) * n_words, depth == self.depth)
             above, last = key // n_words, key % n_words
-            if self.frequent:
-                h = _mix(h[above], word_hash[last])
             own = names.take(pa.array(last)).cast(pa.string())
             phrase = own if phrase is None else pc.binary_join_element_wise(phrase.take(pa.array(above)), own, " ")
             lang = lang[above]
             if not self.frequent or depth == self.depth:
-                yield from _rows(roots.dictionary.take(pa.array(lang)), phrase, depth, np.bincount(node, fresh[end], len(key)).astype("i8"))
+                yield from _rows(roots.dictionary.take(pa.array(lang)), phrase, depth, f)
+
+    def _passed(self, word: np.ndarray, root: np.ndarray, names: pa.Array, langs: pa.Array) -> np.ndarray:
+        """Where paths of full depth begin whose two parts one word shorter pass the filter. Only
+        these are sorted into nodes, and only of them phrases are made."""
+        word_hash, h = _name_hash(names.to_pylist()), _name_hash([x.encode() for x in langs.to_pylist()])[root]
+        n = max(0, len(word) - self.depth + 2)
+        passed, h = np.ones(n, bool), h[:n]
+        for k in range(self.depth - 1):
+            w = word[k : k + n]
+            passed &= w >= 0
+            h = _mix(h, word_hash[w])
+        passed[passed] = self.frequent(h[passed])
+        return np.flatnonzero(passed[:-1] & passed[1:])
+
+
+def _tokens(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of ``_TOKEN`` in texts that end in a line end, and how many every text has."""
+    data = np.frombuffer(b"".join(texts), "u1")
+    kind = _KIND[data]
+    first = kind == 1
+    first[1:] |= (kind[1:] == 2) & (kind[:-1] != 2)
+    first[:1] |= kind[:1] == 2
+    ends = np.cumsum([len(x) for x in texts])
+    size = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+    own = kind > 0
+    data, at = data[own], np.flatnonzero(first[own])
+    offsets = np.append(at, len(data)).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), size
+
+
+def _nodes(key: np.ndarray, fresh: np.ndarray, space: int, last: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Different keys below ``space`` in order, which of them each is (but for the last level, where
+    all are fresh), and how many fresh ones each has."""
+    if last:
+        found, f = np.unique(key, return_counts=True)
+        return found, None, f.astype("i8")
+    if space <= 4 * len(key):
+        seen = np.zeros(space, bool)
+        seen[key] = True
+        found, node = np.flatnonzero(seen), (np.cumsum(seen) - 1)[key]
+    else:
+        found, node = np.unique(key, return_inverse=True)
+    return found, node, np.bincount(node, fresh, len(found)).astype("i8")
 
 
 def _rows(lang: pa.Array, phrase: pa.Array | None, words: int, f: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,25 @@ def test_collocations(spark, odd, none, depth, block):
         assert collocations.top_collocations(collocations.collocations(none)).count() == 0
 
 
+def test_phrases_that_do_not_pass_are_not_made(monkeypatch):
+    """Of a filtered level only the nodes that pass are sorted and named; tokens are those of the pattern."""
+    made, own = [], collocations.pc.binary_join_element_wise
+    monkeypatch.setattr(collocations.pc, "binary_join_element_wise", lambda a, b, s: made.append(len(a)) or own(a, b, s))
+    few = np.zeros(collocations.FILTER_BITS // 64, "u8")
+    for path in ("new york", "york city"):
+        slot = collocations._path_slot("en", path)
+        few[slot >> 6] |= np.uint64(1 << (slot & 63))
+    shard = collocations.Shard(3, frequent=collocations.Filter(few))
+    text = "New York city. new york\tcity, york city hall\x0b" + " ".join(f"w{k % 97}" for k in range(5000))
+    rows = [r for b in [*shard.add("en", text), *shard.trie()] for r in b.to_pylist()]
+    assert rows == [{"lang": "en", "phrase": "new york city", "words": 3, "f": 2}]
+    assert sum(made) <= 2
+    texts = [b"a b\n", b"\n", b" .x\x0b\ty,, z!\xc3\xa9\n"]
+    tokens, size = collocations._tokens(texts)
+    assert tokens.to_pylist() == [w for x in texts for w in collocations._TOKEN.findall(x)]
+    assert size.tolist() == [len(collocations._TOKEN.findall(x)) for x in texts]
+
+
 def test_full_filter_changes_nothing(spark, monkeypatch):
     rows = [("en", "of the house of the dog " * 20), ("en", "in the house, of the cat in the house " * 12)]
     d = spark.createDataFrame(rows, "lang string, text string")
