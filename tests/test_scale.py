@@ -125,8 +125,7 @@ def test_first_block_keeps_k_rows_a_query():
 
 def chain(spark):
     """Positions of two pivots, a table that Spark takes for small."""
-    rows = [(r, i, (i + r) % 2) for r in range(2) for i in range(300)]
-    return spark.createDataFrame(rows, "ref_id long, obj_id long, pos long")
+    return spark.range(600).selectExpr("id % 2 as ref_id", "id div 2 as obj_id", "(id div 2 + id) % 2 as pos")
 
 
 def test_gaps_stay_dealt_by_runs(spark):
